@@ -6,17 +6,24 @@ reducers, while light groups gain no rows: within one map task the salt is
 constant and the map-side combine still merges everything.  Stage 2 merges the
 partial statistics - all mergeable: count, sum, max.  It is partitioned by
 entity alone, which also satisfies stage 3, so that gathering the kinds of an
-entity costs no further shuffle.  Stage 3 expands the complete kind list.
+entity costs no further shuffle.  Stage 3 expands the complete kind list: as
+aggregates for a few kinds, by scattering into dense Arrow lists for many.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SALTS = 32
+MAX_KINDS = 20_000
+NARROW = 32
+_CELLS = 4_000_000
+_NONE = -(2**63)
 
 
 def merged_stats(events: DataFrame, *, salts: int = SALTS, partition_by: tuple[str, ...] = ("entity_id",)) -> DataFrame:
@@ -42,36 +49,63 @@ def merged_stats(events: DataFrame, *, salts: int = SALTS, partition_by: tuple[s
     )
 
 
-def kind_list(events: DataFrame) -> DataFrame:
-    """One row with the sorted array of all kinds: it grows with the vocabulary, not with the events."""
+def kind_list(events: DataFrame, *, max_kinds: int = MAX_KINDS) -> list[str]:
+    """All kinds, sorted.  A table as wide as its vocabulary has a bound: more than ``max_kinds`` are an error, not cut off."""
     kinds = events.where(F.col("entity_id").isNotNull() & F.col("kind").isNotNull()).select("kind").distinct()
-    return kinds.agg(F.array_sort(F.collect_list("kind")).alias("kinds"))
+    found = [r["kind"] for r in kinds.limit(max_kinds + 1).collect()]
+    if len(found) > max_kinds:
+        raise ValueError(f"more than {max_kinds} kinds of events; name the kinds wanted or raise max_kinds")
+    return sorted(found)
 
 
-def entity_features(events: DataFrame, kinds: Sequence[str] | DataFrame | None = None, *, salts: int = SALTS) -> DataFrame:
-    """One row per entity: ``entity_id``, ``kinds``, and arrays ``n``, ``total``, ``last`` along ``kinds``.
+def entity_features(events: DataFrame, kinds: Sequence[str] | None = None, *, salts: int = SALTS, max_kinds: int = MAX_KINDS) -> DataFrame:
+    """One row per entity: ``entity_id`` and the arrays ``n``, ``total``, ``last`` along ``kinds``.
 
-    ``kinds`` is a list, a one-row DataFrame as of :func:`kind_list`, or None
-    for all kinds in ``events``.  A kind that an entity never had counts 0, its
-    total is 0 and its last time null.  Events of a kind not listed still make
-    their entity a row.  No events give no rows; other columns are ignored.
+    ``kinds`` lists the kinds in order; None takes :func:`kind_list`.  A kind
+    that an entity never had counts 0, its total is 0 and its last time null.
+    Events of a kind not listed still make their entity a row.  No events give
+    no rows; other columns of ``events`` are ignored.
     """
+    kinds = kind_list(events, max_kinds=max_kinds) if kinds is None else list(kinds)
     stats = merged_stats(events, salts=salts)
-    by_kind = stats.groupBy("entity_id").agg(
-        F.map_from_entries(F.collect_list(F.struct("kind", F.struct("n", "total", "last")))).alias("by_kind")
-    )
-    if kinds is None:
-        kinds = kind_list(events)
-    names = kinds.scalar() if isinstance(kinds, DataFrame) else F.array(*[F.lit(k) for k in kinds])
-    cell = lambda part, none: F.transform("kinds", lambda k: F.coalesce(F.col("by_kind")[k][part], none))
-    zero = F.lit(0).cast("bigint")
-    return by_kind.withColumn("kinds", names).select(
-        "entity_id",
-        "kinds",
-        cell("n", zero).alias("n"),
-        cell("total", zero).alias("total"),
-        F.transform("kinds", lambda k: F.col("by_kind")[k]["last"]).alias("last"),
+    if len(kinds) <= NARROW:
+        cell = lambda k, c: F.max(F.when(F.col("kind") == k, F.col(c)))
+        zero = F.lit(0).cast("bigint")
+        return stats.groupBy("entity_id").agg(
+            F.array(*[F.coalesce(cell(k, "n"), zero) for k in kinds]).cast("array<bigint>").alias("n"),
+            F.array(*[F.coalesce(cell(k, "total"), zero) for k in kinds]).cast("array<bigint>").alias("total"),
+            F.array(*[cell(k, "last") for k in kinds]).cast("array<bigint>").alias("last"),
+        )
+    spark = events.sparkSession
+    places = spark.createDataFrame([(k, i) for i, k in enumerate(kinds)], "kind string, place int")
+    sparse = (
+        stats.join(F.broadcast(places), "kind", "left")  # at most max_kinds rows
+        .groupBy("entity_id")
+        .agg(F.collect_list(F.struct(F.coalesce("place", F.lit(-1)).alias("place"), "n", "total", F.coalesce("last", F.lit(_NONE)).alias("last"))).alias("cells"))
     )
+    width = len(kinds)
+
+    def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = max(1, _CELLS // width)
+        for whole in batches:
+            for start in range(0, whole.num_rows, rows):
+                batch = whole.slice(start, rows)
+                cells = batch.column("cells")
+                sizes = np.diff(cells.offsets.to_numpy())
+                at = np.repeat(np.arange(len(sizes)), sizes)
+                flat = cells.flatten()
+                place = flat.field("place").to_numpy()
+                use = place >= 0
+                where = (at * width + place)[use]
+                out = []
+                for name, none in (("n", 0), ("total", 0), ("last", _NONE)):
+                    dense = np.full(len(sizes) * width, none, np.int64)
+                    dense[where] = flat.field(name).to_numpy()[use]
+                    values = pa.array(dense, mask=dense == _NONE if name == "last" else None)
+                    out.append(pa.ListArray.from_arrays(pa.array(np.arange(len(sizes) + 1, dtype=np.int32) * width), values))
+                yield pa.RecordBatch.from_arrays([batch.column("entity_id"), *out], names=["entity_id", "n", "total", "last"])
+
+    return sparse.mapInArrow(expand, "entity_id bigint, n array<bigint>, total array<bigint>, last array<bigint>")
 
 
 def pick(kinds: Sequence[str], part: str, kind: str) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palaver.operators.features import entity_features, kind_list, pick, utc_year
+from palaver.operators.features import entity_features, pick, utc_year
 from palaver.operators.orphans import micros, orphan_references, report
 from palaver.operators.skew import heavy_keys, key_summary
 from palaver.plans.registry import Registry
@@ -155,8 +155,7 @@ FROM us CROSS JOIN kinds LEFT JOIN st ON st.u = us.u AND st.kind = kinds.kind GR
 )
 def p1_features(spark: SparkSession, d: str) -> DataFrame:
     """One row per user: count, score total and latest year along the complete sorted list of kinds, as text lists."""
-    events = all_events(spark, d)
-    wide = entity_features(events, kind_list(events))
+    wide = entity_features(all_events(spark, d))
     years = F.transform("last", lambda t: F.coalesce(utc_year(t).cast("string"), F.lit("-")))
     text = lambda c: F.array_join(F.col(c).cast("array<string>"), ",")
     return wide.select(F.col("entity_id").alias("user_id"), text("n").alias("counts"), text("total").alias("totals"), F.array_join(years, ",").alias("years"))
