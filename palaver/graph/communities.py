@@ -41,7 +41,8 @@ def _move(links: DataFrame, state: DataFrame, m2: float, resolution: float, turn
     stay = F.max(F.when(F.col("community") == F.col("now"), F.col("gain")))
     best = options.withColumn("gain", gain).groupBy("id").agg(F.max(F.struct("gain", (-F.col("community")).alias("c"))).alias("best"), stay.alias("stay"))
     moves = (F.col("best")["gain"] > F.col("stay") + 1e-12) & (F.pmod(F.xxhash64("id", F.lit(turn)), F.lit(2)) == 0)
-    return state.join(best, "id", "left").select("id", "degree", F.when(moves, -F.col("best")["c"]).otherwise(F.col("community")).alias("community"))
+    goes = F.coalesce(moves, F.lit(False))
+    return state.join(best, "id", "left").select("id", "degree", F.when(goes, -F.col("best")["c"]).otherwise(F.col("community")).alias("community"), goes.alias("moved"))
 
 
 def louvain(edges: DataFrame, *, rounds: int = 8, levels: int = 4, cfg: GraphConfig = CONFIG) -> DataFrame:
@@ -60,8 +61,12 @@ def louvain(edges: DataFrame, *, rounds: int = 8, levels: int = 4, cfg: GraphCon
         # both ends of every edge, so a loop counts twice in its node's degree
         state = links.select(F.explode(F.array("a", "b")).alias("id"), "weight").groupBy("id").agg(F.sum("weight").alias("degree")).withColumn("community", F.col("id"))
         m2 = float(links.agg(2 * F.sum("weight")).first()[0])
+        still = 0
         for turn in range(rounds):
             state = materialize(_move(links, state, m2, cfg.louvain_resolution, level * rounds + turn), "louvain")
+            still = still + 1 if not state.where("moved").take(1) else 0
+            if still == 2:  # neither half of the nodes moves any more
+                break
         merged = known.join(state.select(F.col("id").alias("community"), F.col("community").alias("up")), "community").select("id", F.col("up").alias("community"))
         merged = materialize(merged, "community")
         new = modularity(whole, merged, cfg.louvain_resolution).first()["modularity"]

@@ -2,8 +2,9 @@
 
 One step is one join of the edges with the state and one aggregation by target,
 merged map-side, so a node with any number of edges is safe.  Edges are written
-once; the state is written every few steps, which bounds the plan.  Periods are
-columns of the state, never a loop.
+once and the state after every step: a step reads it several times, so steps
+left unwritten would multiply the plan.  Periods are columns of the state, never
+a loop.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from palaver.config import GraphConfig
 from palaver.graph.build import nodes
 from palaver.sources.materialize import materialize
 
-CUT = 4
+CUT = 4  # steps between two tests for convergence
 CONFIG = GraphConfig()
 
 
@@ -45,13 +46,11 @@ def pagerank(edges: DataFrame, *, by: Sequence[str] = (), steps: int | None = No
         lost = state.groupBy(*group).agg(F.coalesce(F.sum(F.when(F.col("sink"), F.col("rank"))), F.lit(0.0)).alias("lost"))
         nxt = state.withColumnRenamed("rank", "before").join(flow, [*group, "id"], "left").join(F.broadcast(lost), group)  # one row per period
         nxt = nxt.withColumn("rank", F.lit(alpha) * (F.coalesce("flow", F.lit(0.0)) + F.col("lost") / F.col("n")) + F.lit(1 - alpha) / F.col("n"))
-        state = nxt.select(*group, "id", "n", "sink", "rank", "before")
-        if step % CUT == 0 or step == steps:
-            state = materialize(state, "rank")
-            if steps is None:
-                worst = state.groupBy(*group).agg((F.sum(F.abs(F.col("rank") - F.col("before"))) < F.first("n") * cfg.pagerank_tol).alias("ok"))
-                if worst.agg(F.bool_and("ok")).first()[0]:
-                    break
+        state = materialize(nxt.select(*group, "id", "n", "sink", "rank", "before"), "rank")
+        if steps is None and step % CUT == 0:
+            worst = state.groupBy(*group).agg((F.sum(F.abs(F.col("rank") - F.col("before"))) < F.first("n") * cfg.pagerank_tol).alias("ok"))
+            if worst.agg(F.bool_and("ok")).first()[0]:
+                break
         state = state.drop("before")
     return state.select(*by, "id", "rank")
 
@@ -78,10 +77,11 @@ def hits(edges: DataFrame, steps: int = 20) -> DataFrame:
     state = materialize(nodes(e).select("id", F.lit(1.0).alias("authority"), F.lit(1.0).alias("hub")), "hits")
     for step in range(1, steps + 1):
         auth = state.select("id").join(_step(e, state, "hub"), "id", "left").select("id", F.coalesce("_y", F.lit(0.0)).alias("authority"))
+        auth = materialize(auth, "hits")
         hub = auth.join(_step(e, auth, "authority", forward=False), "id", "left").select("id", "authority", F.coalesce("_y", F.lit(0.0)).alias("hub"))
-        state = hub
-        if step % 2 == 0 or step == steps:
-            state = materialize(_scaled(_scaled(materialize(state, "hits"), "authority"), "hub"), "hits")
+        state = materialize(hub, "hits")
+        if step % CUT == 0 or step == steps:
+            state = materialize(_scaled(_scaled(state, "authority"), "hub"), "hits")
     return state
 
 
@@ -91,8 +91,9 @@ def eigenvector(edges: DataFrame, steps: int = 20) -> DataFrame:
     state = materialize(nodes(e).select("id", F.lit(1.0).alias("score")), "eigen")
     for step in range(1, steps + 1):
         state = state.join(_step(e, state, "score"), "id", "left").select("id", (F.col("score") + F.coalesce("_y", F.lit(0.0))).alias("score"))
+        state = materialize(state, "eigen")
         if step % CUT == 0 or step == steps:
-            state = materialize(_scaled(materialize(state, "eigen"), "score"), "eigen")
+            state = materialize(_scaled(state, "score"), "eigen")
     return state
 
 
@@ -106,8 +107,8 @@ def katz(edges: DataFrame, steps: int = 20, cfg: GraphConfig = CONFIG, tries: in
         for step in range(1, steps + 1):
             y = state.withColumnRenamed("score", "before").join(_step(e, state, "score"), "id", "left")
             state = y.select("id", "before", (F.lit(alpha) * F.coalesce("_y", F.lit(0.0)) + F.lit(cfg.katz_beta)).alias("score"))
+            state = materialize(state, "katz")
             if step % CUT == 0 or step == steps:
-                state = materialize(state, "katz")
                 changes.append(state.agg(F.max(F.abs(F.col("score") - F.col("before")))).first()[0] or 0.0)
             state = state.drop("before")
         if len(changes) < 2 or changes[-1] <= changes[0]:

@@ -120,9 +120,12 @@ def pack_circles(radii: np.ndarray) -> np.ndarray:
         side = np.c_[-unit[:, 1], unit[:, 0]] * up[:, None]
         spots = np.r_[base + side, base - side]
         spots = spots[np.argsort((spots**2).sum(1), kind="stable")]
-        for spot in spots:
-            if (np.hypot(*(at[:i] - spot).T) >= radii[:i] + r - 1e-9).all():
-                at[i] = spot
+        for k in range(0, len(spots), 256):
+            some = spots[k : k + 256]
+            far = np.hypot(some[:, None, 0] - at[None, :i, 0], some[:, None, 1] - at[None, :i, 1])
+            free = np.flatnonzero((far >= radii[:i] + r - 1e-9).all(1))
+            if len(free):
+                at[i] = some[free[0]]
                 break
     return at
 

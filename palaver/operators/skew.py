@@ -17,9 +17,13 @@ from pyspark.sql import functions as F
 
 from palaver.sources.materialize import materialize
 
+_RESERVED = {"value", "weight", "part", "offset", "total", "upto", "w", "n", "n_values", "n_distinct", "mode"}
+
 
 def compress(rows: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    """(keys, value) -> weight.  Null keys make no group; null values do."""
+    """(keys, value) -> weight.  Null keys make no group; null values do.  Other columns are ignored; keys named like a result are an error."""
+    if clash := _RESERVED & set(keys):
+        raise ValueError(f"rename the keys {sorted(clash)}")
     kept = rows
     for k in keys:
         kept = kept.where(F.col(k).isNotNull())
