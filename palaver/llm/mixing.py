@@ -14,11 +14,13 @@ import math
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 MAX_SOURCES = 100_000
+SALTS = 32
 _NEGLIGIBLE = 1e-12
+_OWN = ("__mix_cdf", "__mix_n", "__mix_salt")
 
 
 def mix_plan(counted: DataFrame, mix: DataFrame) -> DataFrame:
@@ -36,8 +38,6 @@ def mix_plan(counted: DataFrame, mix: DataFrame) -> DataFrame:
     tokens = counted.where(F.col("source").isNotNull()).groupBy("source").agg(F.sum("n_tokens").alias("tokens"), F.count(F.lit(1)).alias("documents"))
     wanted = mix.where(F.col("source").isNotNull()).groupBy("source").agg(F.max("target_share").alias("target_share"), F.max("max_repeats").cast("bigint").alias("max_repeats"))
     plan = wanted.join(tokens, "source", "left").na.fill(0, ["tokens", "documents"])
-    from pyspark.sql import Window
-
     # one row per source: a single small partition
     plan = plan.withColumn("total", F.sum("tokens").over(Window.partitionBy(F.lit(1))))
     share, cap = F.coalesce("target_share", F.lit(0.0)), F.coalesce("max_repeats", F.lit(0))
@@ -89,27 +89,28 @@ def _uniform(seed: int, *keys: str) -> Column:
 def replicate(docs: DataFrame, plan: DataFrame, key: str = "doc_id", *, seed: int = 0, max_sources: int = MAX_SOURCES) -> DataFrame:
     """``docs`` repeated by the plan: all columns plus ``copy_no`` from 0; unordered, no shuffle of ``docs``.
 
-    Documents of sources outside the plan are left out.  Rows that repeat a key
+    Documents of sources outside the plan are left out; a column ``copy_no`` of
+    their own is replaced.  Rows that repeat a key
     draw the same number.  The plan is broadcast only after its size is checked;
     beyond ``max_sources`` the documents are joined by (source, salt) instead.
     """
 
     def invert(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
-            yield pd.DataFrame({"source": rows["source"], "cdf": [truncated_cdf(r, int(c)) for r, c in zip(rows["rate"], rows["cap"])]})
+            yield pd.DataFrame({"source": rows["source"], "__mix_cdf": [truncated_cdf(r, int(c)) for r, c in zip(rows["rate"], rows["cap"])]})
 
-    draws = plan.select("source", "rate", F.coalesce("max_repeats", F.lit(0)).alias("cap")).mapInPandas(invert, "source string, cdf array<double>")
+    own = docs.drop("copy_no", *_OWN)
+    draws = plan.select("source", "rate", F.coalesce("max_repeats", F.lit(0)).alias("cap")).mapInPandas(invert, "source string, __mix_cdf array<double>")
     small = [tuple(r) for r in draws.limit(max_sources + 1).collect()]
     if len(small) <= max_sources:
-        draws = docs.sparkSession.createDataFrame(small, draws.schema)
-        joined = docs.join(F.broadcast(draws), "source")
+        joined = own.join(F.broadcast(docs.sparkSession.createDataFrame(small, draws.schema)), "source")
     else:
-        salt = 32
-        salted = draws.withColumn("_salt", F.explode(F.array(*map(F.lit, range(salt)))))
-        joined = docs.withColumn("_salt", F.pmod(F.xxhash64(key), F.lit(salt)).cast("int")).join(salted, ["source", "_salt"]).drop("_salt")
+        salted = draws.withColumn("__mix_salt", F.explode(F.array(*map(F.lit, range(SALTS)))))
+        joined = own.withColumn("__mix_salt", F.pmod(F.xxhash64(key), F.lit(SALTS)).cast("int")).join(salted, ["source", "__mix_salt"])
     u = _uniform(seed, key)
-    times = F.size(F.filter("cdf", lambda c: c < u))
-    return joined.withColumn("_n", times).drop("cdf").where("_n > 0").withColumn("copy_no", F.explode(F.sequence(F.lit(0), F.col("_n") - 1))).drop("_n")
+    times = F.size(F.filter("__mix_cdf", lambda c: c < u))
+    many = joined.withColumn("__mix_n", times).where("__mix_n > 0")
+    return many.withColumn("copy_no", F.explode(F.sequence(F.lit(0), F.col("__mix_n") - 1))).drop(*_OWN)
 
 
 def shuffled(copies: DataFrame, key: str = "doc_id", *, seed: int = 0) -> DataFrame:
@@ -119,8 +120,6 @@ def shuffled(copies: DataFrame, key: str = "doc_id", *, seed: int = 0) -> DataFr
 
 def shares(copies: DataFrame, plan: DataFrame) -> DataFrame:
     """Per source of the plan: target and reached share, copies, tokens and whether the cap makes it short."""
-    from pyspark.sql import Window
-
     got = copies.groupBy("source").agg(F.count(F.lit(1)).alias("copies"), F.sum("n_tokens").alias("mixed_tokens"))
     both = plan.join(got, "source", "left").na.fill(0, ["copies", "mixed_tokens"])
     whole = F.sum("mixed_tokens").over(Window.partitionBy(F.lit(1)))
