@@ -18,6 +18,7 @@ LINE_ENDS = r"<br>|<br/>|<br />|</p>|</li>"
 CODE_MARK = " [CODE] "
 DATE_FORMATS = ("yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd")
 PROSE_LEAST = 40
+LAST_SECOND = 253402300800  # the year 10000
 
 
 @F.pandas_udf(T.StringType())
@@ -73,15 +74,20 @@ def parse_epoch(c: Column) -> Column:
     return F.coalesce(number, *dates)
 
 
+def _day(epoch: Column) -> Column:
+    near = F.when(F.abs(epoch) < LAST_SECOND, epoch)
+    return F.date_add(F.lit("1970-01-01").cast("date"), F.floor(near / F.lit(86400)).cast("int"))
+
+
 def year_of(epoch: Column, *, zero_is_null: bool = False) -> Column:
-    """UTC year of epoch seconds; the document contract treats epoch 0 as unknown."""
+    """UTC year of epoch seconds, null beyond the year 9999; the document contract treats epoch 0 as unknown."""
     e = F.nullif(epoch, F.lit(0)) if zero_is_null else epoch
-    return F.year(F.timestamp_seconds(e))
+    return F.year(_day(e))
 
 
 def month_of(epoch: Column) -> Column:
-    """'YYYY-MM' of epoch seconds."""
-    return F.date_format(F.timestamp_seconds(epoch), "yyyy-MM")
+    """'YYYY-MM' of epoch seconds in UTC, null beyond the year 9999."""
+    return F.date_format(_day(epoch), "yyyy-MM")
 
 
 def one_hot(tags: Column, tracked: tuple[str, ...], forced: str | None = None) -> list[Column]:

@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from palaver.functions.text import year_of
+
 SALTS = 32
 MAX_KINDS = 20_000
 NARROW = 32
@@ -114,5 +116,5 @@ def pick(kinds: Sequence[str], part: str, kind: str) -> Column:
 
 
 def utc_year(epoch: Column) -> Column:
-    """Calendar year of epoch seconds in UTC, whatever the session's zone."""
-    return F.year(F.date_add(F.lit("1970-01-01").cast("date"), F.floor(epoch / F.lit(86400)).cast("int")))
+    """Calendar year of epoch seconds in UTC, whatever the session's zone; null where no date is that far away."""
+    return year_of(epoch)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from palaver.functions.text import month_of
 from palaver.operators.features import entity_features, pick, utc_year
 from palaver.operators.orphans import micros, orphan_references, report
 from palaver.operators.skew import heavy_keys, key_summary
@@ -166,7 +167,7 @@ def p1_features(spark: SparkSession, d: str) -> DataFrame:
 
 def references(spark: SparkSession, d: str) -> DataFrame:
     """Non-null references of first rows to questions and users, with time and month of the referring record."""
-    month = F.date_format(F.timestamp_seconds("creation_date"), "yyyy-MM").alias("month")
+    month = month_of(F.col("creation_date")).alias("month")
 
     def of(df: DataFrame, record: str, fields: dict[str, tuple[str, str]]) -> DataFrame:
         each = F.explode(F.array(*[F.struct(F.lit(dom).alias("domain"), F.lit(name).alias("ref_field"), F.col(col).alias("key")) for name, (dom, col) in fields.items()]))
