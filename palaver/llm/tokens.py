@@ -150,14 +150,13 @@ def encode_corpus(docs: DataFrame, key: str = "doc_id", text: str = "text", *, p
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids_of = load(vocabulary.value).ids_of.__getitem__
         for batch in batches:
-            per_word = [[ids_of(w) for w in Tokenizer.words(t)] if t else () for t in batch.column(1).to_pylist()]
-            flat = np.fromiter(chain.from_iterable(chain.from_iterable(per_word)), np.int32)
-            sizes = np.fromiter((sum(map(len, x)) for x in per_word), np.int64, len(per_word))
-            offsets = np.r_[0, np.cumsum(sizes)]
-            for a in range(0, len(per_word), 1000):
-                b = min(a + 1000, len(per_word))
-                ids = pa.ListArray.from_arrays(pa.array((offsets[a : b + 1] - offsets[a]).astype(np.int32)), pa.array(flat[offsets[a] : offsets[b]]))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), ids], names=[key, "ids"])
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                per_word = [[ids_of(w) for w in Tokenizer.words(t)] if t else () for t in part.column(1).to_pylist()]
+                flat = np.fromiter(chain.from_iterable(chain.from_iterable(per_word)), np.int32)
+                sizes = np.fromiter((sum(map(len, x)) for x in per_word), np.int32, len(per_word))
+                ids = pa.ListArray.from_arrays(pa.array(np.r_[np.int32(0), np.cumsum(sizes, dtype=np.int32)]), pa.array(flat))
+                yield pa.RecordBatch.from_arrays([part.column(0), ids], names=[key, "ids"])
 
     kind = docs.schema[key].dataType.simpleString()
     return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, ids array<int>")
