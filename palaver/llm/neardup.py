@@ -51,6 +51,7 @@ class Sketch:
     compared: int = 96
     entries: int = 2_000_000
     block: int = 256
+    tasks: int = 20_000
 
     @property
     def registers(self) -> int:
@@ -218,7 +219,8 @@ def candidates(texts: DataFrame, how: Sketch, n_texts: int) -> DataFrame:
     """Distinct (a, b), a < b, of classes that share a band; ``n_texts`` sizes the parts."""
     spark = texts.sparkSession
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_texts * how.bands // how.entries))
-    packed = _bucket_rows(texts, how, parts).repartitionById(parts, F.col("part")).sortWithinPartitions("part")
+    tasks = min(parts, how.tasks)  # a task takes its parts one after the other
+    packed = _bucket_rows(texts, how, parts).repartitionById(tasks, F.pmod("part", F.lit(tasks))).sortWithinPartitions("part")
     lists = packed.mapInArrow(_match(how.block), "a array<bigint>, b array<bigint>, cross boolean")
     dealt = lists.repartition(F.xxhash64("a", "b"))
     all_of = F.flatten(F.transform("a", lambda x: F.transform("b", lambda y: F.struct(x.alias("a"), y.alias("b")))))
