@@ -24,6 +24,8 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+DENSE = 40  # a gathered product costs about this many times one within a matrix product
+
 
 @dataclass(frozen=True)
 class Scan:
@@ -111,10 +113,13 @@ class ListScan:
         dot = dots[at_q, at_x]
         for i in range(1, len(self.ends)):
             a, b = self.ends[i - 1], self.ends[i]
-            step = max(1, 4_000_000 // (b - a))
-            for s in range(0, len(at_q), step):
-                e = s + step
-                dot[s:e] += np.einsum("nd,nd->n", q[at_q[s:e], a:b], self.x[at_x[s:e], a:b])
+            if len(at_q) * DENSE > partial.size:  # so many are left that a matrix product is cheaper than gathering them
+                dot += (q[:, a:b] @ self.x[:, a:b].T)[at_q, at_x]
+            else:
+                step = max(1, 1_000_000 // (b - a))
+                for s in range(0, len(at_q), step):
+                    e = s + step
+                    dot[s:e] += np.einsum("nd,nd->n", q[at_q[s:e], a:b], self.x[at_x[s:e], a:b])
             if b < self.dim:
                 far = squares[i][at_q] + self.squares[i][at_x] - 2 * dot
                 keep = far * (self.dim / b) <= radius[at_q] * (1 + self.how.epsilon / b**0.5) ** 2
