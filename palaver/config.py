@@ -1,4 +1,7 @@
-"""Parameters as frozen dataclasses; unknown names are rejected by construction, overrides go through dataclasses.replace."""
+"""Parameters as frozen dataclasses; unknown names are rejected by construction, overrides go through dataclasses.replace.
+
+The defaults are fixed values that results must share.
+"""
 
 from __future__ import annotations
 

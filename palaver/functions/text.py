@@ -11,13 +11,21 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# fixed values: the entities decoded without Python, ampersand last, and what counts as an undecoded one
-COMMON_ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", " "), ("&amp;", "&"))
-ENTITY = r"&(amp|lt|gt|quot|apos|nbsp|#\d+);"
-LINE_ENDS = r"<br>|<br/>|<br />|</p>|</li>"
+# Patterns, marks and formats that the results depend on.
+CODE_BLOCK = r"(?s)<pre[^>]*>.*?</pre>"
+INLINE_CODE = r"(?s)<code[^>]*>.*?</code>"
 CODE_MARK = " [CODE] "
-DATE_FORMATS = ("yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd")
+LINE_ENDS = r"<br>|<br/>|<br />|</p>|</li>"
+ANY_TAG = r"<[^>]+>"
+BLANKS = r"[ \t]+"
+EMPTY_LINES = r"\n{3,}"
+FENCE = r"(?s)```.*?```"
+CODE_LINE = r"(^|\n)[ \t]*\[CODE\][ \t]*(\n|$)"
 PROSE_LEAST = 40
+ENTITY = r"&(amp|lt|gt|quot|apos|nbsp|#\d+);"
+SENTENCE_END = r"(?<=[.!?])\s+"
+DATE_FORMATS = ("yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd")
+COMMON_ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", "\u00a0"), ("&amp;", "&"))  # ampersand last
 LAST_SECOND = 253402300800  # the year 10000
 
 
@@ -37,23 +45,22 @@ def unescape_common(c: Column) -> Column:
 def clean_html(body: Column, *, every_entity: bool = True) -> Column:
     """Plain text of an HTML body: code becomes a mark, block ends line ends, tags go, entities are decoded, blanks squeezed.  Null gives ''."""
     t = F.coalesce(body, F.lit(""))
-    t = F.regexp_replace(t, r"(?s)<pre[^>]*>.*?</pre>", CODE_MARK)
-    t = F.regexp_replace(t, r"(?s)<code[^>]*>.*?</code>", CODE_MARK)
+    t = F.regexp_replace(t, CODE_BLOCK, CODE_MARK)
+    t = F.regexp_replace(t, INLINE_CODE, CODE_MARK)
     t = F.regexp_replace(t, LINE_ENDS, "\n")
-    t = F.regexp_replace(t, "<[^>]+>", "")
+    t = F.regexp_replace(t, ANY_TAG, "")
     t = unescape(t) if every_entity else unescape_common(t)
-    t = F.regexp_replace(t, "[ \t]+", " ")
-    t = F.regexp_replace(t, "\n{3,}", "\n\n")
+    t = F.regexp_replace(t, BLANKS, " ")
+    t = F.regexp_replace(t, EMPTY_LINES, "\n\n")
     return F.regexp_replace(t, "^[\\s ]+|[\\s ]+$", "")
 
 
 def evidence_type(body: Column) -> Column:
     """'prose' without a code block, 'code' if under 40 characters of prose remain beside it, else 'both'."""
-    fence, mark = "(?s)```.*?```", r"(^|\n)[ \t]*\[CODE\][ \t]*(\n|$)"
     t = F.coalesce(body, F.lit(""))
-    rest = F.replace(F.regexp_replace(F.regexp_replace(t, fence, " "), mark, " "), F.lit("[CODE]"), F.lit(" "))
+    rest = F.replace(F.regexp_replace(F.regexp_replace(t, FENCE, " "), CODE_LINE, " "), F.lit("[CODE]"), F.lit(" "))
     left = F.length(F.trim(F.regexp_replace(rest, r"\s+", " ")))
-    return F.when(~(t.rlike(fence) | t.rlike(mark)), "prose").when(left < PROSE_LEAST, "code").otherwise("both")
+    return F.when(~(t.rlike(FENCE) | t.rlike(CODE_LINE)), "prose").when(left < PROSE_LEAST, "code").otherwise("both")
 
 
 def first_entity(c: Column) -> Column:
@@ -63,7 +70,7 @@ def first_entity(c: Column) -> Column:
 
 def sentences(c: Column, most: int = 2) -> Column:
     """The first ``most`` non-blank sentences; a sentence ends at . ! or ? before white space."""
-    return F.slice(F.filter(F.split(c, r"(?<=[.!?])\s+"), lambda s: F.trim(s) != ""), 1, most)
+    return F.slice(F.filter(F.split(c, SENTENCE_END), lambda s: F.trim(s) != ""), 1, most)
 
 
 def parse_epoch(c: Column) -> Column:

@@ -276,3 +276,47 @@ def jaccard_reuse(spark: SparkSession, d: str) -> DataFrame:
     new = line.where("l_returnflag = 'A'").select(F.col("l_suppkey").alias("new_id"), F.col("l_partkey").alias("member"))
     known = line.select(F.col("l_suppkey").alias("group_id"), F.col("l_partkey").alias("member"))
     return retrieval.best_overlap(new, known, RetrievalConfig(dedup_threshold=0.3)).select("new_id", "group_id", F.round("jaccard", 6).alias("jaccard"))
+
+
+# --- derived display measures -------------------------------------------------------------
+
+RING = 340  # fixed value: radius of the outermost ring
+COLOURS = 8  # fixed value: colours before they repeat
+WINDOW_START = 1996
+
+
+@REGISTRY.query("cluster_display", f"WITH {PRACTICES}, {_SHELLS} SELECT group_id, camp_id, round(n / max(n) OVER (PARTITION BY group_id), 6) AS fraction, round({RING} * (1 - n / max(n) OVER (PARTITION BY group_id)), 6) AS ring, (place - 1) % {COLOURS} AS colour FROM sh")
+def cluster_display(spark: SparkSession, d: str) -> DataFrame:
+    """Size relative to the group's largest cluster, ring radius - larger clusters nearer the centre - and colour by order."""
+    share = F.col("n") / F.max("n").over(Window.partitionBy("group_id"))
+    return shells(spark, d).select("group_id", "camp_id", F.round(share, 6).alias("fraction"), F.round(RING * (1 - share), 6).alias("ring"), ((F.col("place") - 1) % COLOURS).alias("colour"))
+
+
+@REGISTRY.query("camp_years", f"""SELECT o_custkey AS group_id, CAST(ascii(l_returnflag) * 256 + ascii(l_linestatus) AS BIGINT) AS camp_id, CAST(min(year(l_shipdate)) AS INTEGER) AS first_year, CAST(max(year(l_shipdate)) AS INTEGER) AS last_year,
+  count(CASE WHEN year(l_shipdate) < {WINDOW_START} THEN 1 END) AS n_out_of_window FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY 1, 2""")
+def camp_years(spark: SparkSession, d: str) -> DataFrame:
+    """First and last year of each camp's practices and how many precede the window."""
+    line = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), (F.ascii("l_returnflag") * 256 + F.ascii("l_linestatus")).cast("bigint").alias("camp_id"), F.year("l_shipdate").alias("y"))
+    j = line.join(table(spark, d, "orders").select("o_orderkey", F.col("o_custkey").alias("group_id")), "o_orderkey")
+    return j.groupBy("group_id", "camp_id").agg(F.min("y").alias("first_year"), F.max("y").alias("last_year"), F.count(F.when(F.col("y") < WINDOW_START, 1)).alias("n_out_of_window"))
+
+
+@REGISTRY.query("authority_label", """SELECT user_id, greatest(1, CAST(round((1 - p) * 100) AS INTEGER)) AS top_percent FROM (SELECT user_id, CASE WHEN n = 1 THEN 1.0 ELSE (rn - 1) / (n - 1) END AS p
+  FROM (SELECT user_id, row_number() OVER (ORDER BY comp_pagerank, user_id) AS rn, count(*) OVER () AS n FROM user_authority WHERE comp_pagerank > 0))""")
+def authority_label(spark: SparkSession, d: str) -> DataFrame:
+    """The N of 'top N percent' for every scored user, at least 1."""
+    from palaver.functions.rank import global_percentile
+
+    ua = global_percentile(table(spark, d, "user_authority").where("comp_pagerank > 0").select("user_id", "comp_pagerank"), "comp_pagerank", "user_id", "p")
+    return ua.select("user_id", F.greatest(F.lit(1), F.round((1 - F.col("p")) * 100).cast("int")).alias("top_percent"))
+
+
+@REGISTRY.query("stream_windows", "SELECT date_trunc('day', ts)::TIMESTAMP AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
+def stream_windows(spark: SparkSession, d: str) -> DataFrame:
+    """Daily counts of the event stream, run to its end with a watermark (an extension)."""
+    import uuid
+
+    from palaver.streaming.edges import event_stream, run_to_end, windowed_counts
+
+    done = run_to_end(windowed_counts(event_stream(spark, f"{d}/events.parquet")), f"windows_{uuid.uuid4().hex}")
+    return done.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))

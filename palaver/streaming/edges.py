@@ -11,8 +11,9 @@ from palaver.sources.writers import undone
 
 
 def event_stream(spark: SparkSession, path: str) -> DataFrame:
-    """Events as a file stream; the schema is read from the files at hand."""
-    return spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
+    """Events as a file stream; the schema is read from the files at hand, times without a zone are taken in the session's."""
+    stream = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
+    return stream.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def windowed_counts(events: DataFrame, *, size: str = "1 day", late: str = "2 days") -> DataFrame:
