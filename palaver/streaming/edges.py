@@ -11,8 +11,13 @@ from palaver.sources.writers import undone
 
 
 def event_stream(spark: SparkSession, path: str) -> DataFrame:
-    """Events as a file stream; the schema is read from the files at hand, times without a zone are taken in the session's."""
-    stream = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
+    """Events as a stream of a folder or one file; the schema is read from what is there, times without a zone are taken in the session's."""
+    reader = spark.readStream.schema(spark.read.parquet(path).schema)
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(at).isDirectory():
+        folder, _, name = path.rpartition("/")  # a stream watches folders
+        reader, path = reader.option("pathGlobFilter", name), folder
+    stream = reader.parquet(path)
     return stream.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
