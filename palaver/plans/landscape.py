@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from palaver.operators import consensus, retrieval, signals
 from palaver.plans.registry import Registry
 from palaver.plans.sqltext import CAMPS, PRACTICES, PRIMARY, shape
+from palaver.sources.materialize import materialize
 from palaver.sources.tables import table
 
 REGISTRY = Registry()
@@ -36,6 +37,11 @@ def practices(spark: SparkSession, d: str) -> DataFrame:
     return twice.withColumns({"ext_id": F.col("ext_id") + F.col("n"), "sentence": F.concat("sentence", F.when(F.col("n") == 1, " again").otherwise(""))}).drop("n", "l_tax")
 
 
+def held(spark: SparkSession, d: str) -> DataFrame:
+    """The same, written once for plans that read them several times."""
+    return materialize(practices(spark, d), "practices")
+
+
 def authorities(spark: SparkSession, d: str) -> DataFrame:
     """(author_id, pr, name) of suppliers."""
     return table(spark, d, "supplier").select(F.col("s_suppkey").alias("author_id"), F.col("s_acctbal").alias("pr"), F.col("s_name").alias("name"))
@@ -72,7 +78,7 @@ SELECT cs.group_id, cs.camp_id, exemplar, prevalence_n, first_ext, round(prevale
   round(coalesce(cov.k, 0) / prevalence_n, 4) AS authority_coverage, round(cs.agreement, 4) AS voting_agreement
 FROM cs JOIN ex USING (group_id, camp_id) JOIN na USING (group_id) LEFT JOIN ov USING (group_id, camp_id) LEFT JOIN tot USING (group_id) LEFT JOIN au ON au.author_id = ov.top LEFT JOIN cov USING (group_id, camp_id)""")
 def camp_signal(spark: SparkSession, d: str) -> DataFrame:
-    return signals.camp_signals(practices(spark, d), authorities(spark, d))
+    return signals.camp_signals(held(spark, d), authorities(spark, d))
 
 
 @REGISTRY.query("query_signal", f"""WITH {PRACTICES}, {CAMPS}, {PRIMARY}, {_HEAD},
@@ -89,7 +95,7 @@ SELECT group_id, n_answers, n_practices, coalesce(n_head, 0) AS n_head_camps, n_
   CASE WHEN ok THEN c1 END AS top1_author_cluster, CAST(coalesce(ok AND c1 <> leader, false) AS INTEGER) AS authority_diverges, CAST(coalesce(inl, 0) AS INTEGER) AS top3_in_vote_leader,
   round(covered / n_answers, 4) AS authority_coverage_overall, prev AS prevalence_leader_cluster, CAST(coalesce(prev <> leader, false) AS INTEGER) AS prevalence_diverges FROM j""")
 def query_signal(spark: SparkSession, d: str) -> DataFrame:
-    return signals.group_signals(practices(spark, d), authorities(spark, d))
+    return signals.group_signals(held(spark, d), authorities(spark, d))
 
 
 @REGISTRY.query("runner_up", f"WITH {PRACTICES}, {CAMPS} SELECT group_id, max(CASE WHEN rn = 1 THEN camp_id END) AS leader, max(CASE WHEN rn = 2 THEN camp_id END) AS runner_up FROM cr GROUP BY 1")
@@ -105,7 +111,7 @@ def signal_table_text(spark: SparkSession, d: str) -> DataFrame:
 @REGISTRY.query("narrative")
 def narrative(spark: SparkSession, d: str) -> DataFrame:
     """A describing sentence per group; a template stands in for a written narrative."""
-    return signals.narrative(signals.group_signals(practices(spark, d), authorities(spark, d)))
+    return signals.narrative(signals.group_signals(held(spark, d), authorities(spark, d)))
 
 
 _SHELLS = """pk AS (SELECT group_id, camp_id, count(*) AS n FROM p WHERE camp_id IS NOT NULL GROUP BY 1, 2 HAVING count(*) >= 2),
@@ -115,7 +121,11 @@ _SHELLS = """pk AS (SELECT group_id, camp_id, count(*) AS n FROM p WHERE camp_id
 
 def shells(spark: SparkSession, d: str) -> DataFrame:
     """(group_id, camp_id, n, shell_id, place): camps of at least two practices, by size, name and id; a name met again gets a number."""
-    p = practices(spark, d).where("camp_id IS NOT NULL").groupBy("group_id", "camp_id").agg(F.count(F.lit(1)).alias("n")).where("n >= 2")
+    return _shells(practices(spark, d))
+
+
+def _shells(kept: DataFrame) -> DataFrame:
+    p = kept.where("camp_id IS NOT NULL").groupBy("group_id", "camp_id").agg(F.count(F.lit(1)).alias("n")).where("n >= 2")
     p = p.withColumn("name", F.char(F.floor(F.col("camp_id") / 256)))
     again = F.row_number().over(Window.partitionBy("group_id", "name").orderBy(F.desc("n"), "camp_id"))
     place = F.row_number().over(Window.partitionBy("group_id").orderBy(F.desc("n"), "name", "camp_id"))
@@ -140,10 +150,10 @@ def points(spark: SparkSession, d: str) -> DataFrame:
     """One row per practice with cluster, weight and status."""
     from palaver.functions.rank import average_rank_percentile, fused_weight, global_percentile
 
-    p = practices(spark, d)
+    p = held(spark, d)
     q = p.select("group_id", "answer_id", "vote").distinct().withColumn("q", average_rank_percentile(["group_id"], "vote")).drop("vote")
     a = global_percentile(authorities(spark, d).where("pr > 0"), "pr", "author_id", "a").select("author_id", "pr", "a")
-    j = p.join(q, ["group_id", "answer_id"]).join(shells(spark, d).select("group_id", "camp_id", "shell_id"), ["group_id", "camp_id"], "left").join(a, "author_id", "left")
+    j = p.join(q, ["group_id", "answer_id"]).join(_shells(p).select("group_id", "camp_id", "shell_id"), ["group_id", "camp_id"], "left").join(a, "author_id", "left")
     status = F.when(F.col("a").isNotNull(), "scored").when(F.col("author_id").isNull(), "anonymous").otherwise("non_interactive")
     return j.select("group_id", "ext_id", "answer_id", F.coalesce("shell_id", F.lit("long-tail")).alias("cluster"), fused_weight(F.col("q"), F.col("a")).alias("weight"), status.alias("authority_status"), "pr", "vote")
 
@@ -206,8 +216,6 @@ def co_association(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _clusters(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    from palaver.sources.materialize import materialize
-
     lab = _labelled(spark, d)
     votes = materialize(consensus.co_votes(lab), "votes")
     return consensus.majority_clusters(votes, lab.select("group_id", "idx"), 3), votes

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from palaver.functions.text import clean_html, evidence_type, first_entity, markdown, parse_epoch, shorten
 from palaver.plans.registry import Registry
 from palaver.plans.relational import answers, questions
-from palaver.plans.sqltext import A, Q
+from palaver.plans.sqltext import Q
 from palaver.sources.tables import table
 
 REGISTRY = Registry()
