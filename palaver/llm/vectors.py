@@ -1,8 +1,8 @@
 """The k most similar vectors of every vector, by an adaptive dimension scan over inverted lists.
 
 A spherical k-means fitted on a bounded sample gives the lists; every vector is
-stored in its nearest list and visits the next lists whose centres are almost as
-near.  Vectors are turned by one random rotation, after which any block of
+stored in its nearest list and visits every other list whose centre is almost as
+near, however many they are.  Vectors are turned by one random rotation, after which any block of
 leading dimensions estimates a distance without bias.  Within a list the
 distances of all candidates are taken over the first block of dimensions; a
 hypothesis test drops those whose partial distance is too large to still belong
@@ -32,8 +32,9 @@ class Scan:
     """Parameters of lists and scan.
 
     ``list_size`` vectors a list on average; at most ``max_sample`` vectors are
-    drawn to fit the lists.  A vector visits at most ``visits`` further lists,
-    those whose centre's cosine is within ``margin`` of the nearest.  ``blocks``
+    drawn to fit the lists.  A vector visits all further lists whose centre's
+    cosine is within ``margin`` of the nearest, so a dense group that was cut into
+    many lists is searched as a whole.  ``blocks``
     ends the column blocks, as shares of the dimensions; ``epsilon`` widens the
     test: a true neighbour is lost with a probability that falls as exp(-c eps^2).
     """
@@ -42,7 +43,6 @@ class Scan:
     list_size: int = 1000
     max_lists: int = 4096
     max_sample: int = 20_000
-    visits: int = 2
     margin: float = 0.06
     blocks: tuple[float, ...] = (1 / 16, 3 / 16, 7 / 16, 1.0)
     epsilon: float = 2.1
@@ -146,23 +146,23 @@ def _codes(how: Scan, centres: np.ndarray, turn):
                 ids, x = ids.to_numpy(zero_copy_only=False)[known].astype(np.int64), x[known]
                 y = x @ rot
                 near = y @ turned.T
-                best = near.max(1)
-                lists = np.argsort(-near, axis=1, kind="stable")[:, : how.visits + 1]
-                go = np.take_along_axis(near, lists, 1) >= best[:, None] - how.margin
-                go[:, 0] = True
-                row, col = np.nonzero(go)
-                code = y.astype(np.float16)
+                home = near.argmax(1)
+                go = near >= near.max(1)[:, None] - how.margin
+                code = [c.tobytes() for c in y.astype(np.float16)]
                 kind = np.array([xxhash.xxh64_intdigest(v.tobytes()) - 2**63 for v in x], np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(lists[row, col].astype(np.int32)),
-                        pa.array((col > 0).astype(np.int8)),
-                        pa.array(kind[row]),
-                        pa.array(ids[row]),
-                        pa.array([code[r].tobytes() for r in row], pa.binary()),
-                    ],
-                    names=["list", "visiting", "kind", "id", "code"],
-                )
+                rows, lists = np.nonzero(go)
+                for s in range(0, len(rows), 4096):  # a vector of a dense group visits many lists
+                    row, at_list = rows[s : s + 4096], lists[s : s + 4096]
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array(at_list.astype(np.int32)),
+                            pa.array((at_list != home[row]).astype(np.int8)),
+                            pa.array(kind[row]),
+                            pa.array(ids[row]),
+                            pa.array([code[r] for r in row], pa.binary()),
+                        ],
+                        names=["list", "visiting", "kind", "id", "code"],
+                    )
 
     return run
 

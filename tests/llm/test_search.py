@@ -129,6 +129,31 @@ def test_recall(spark):
     assert all(abs(c[i, j] - s) < 2e-3 for i in got for j, s in got[i].items())
 
 
+def dense_third(dim=128, seed=6):
+    """2,000 vectors around 200 centres, then 1,000 noisy copies of one vector: a group of cosines about 0.85."""
+    rng = np.random.default_rng(seed)
+    x = rng.standard_normal((200, dim))[rng.integers(0, 200, 2000)] + 0.6 * rng.standard_normal((2000, dim))
+    one = rng.standard_normal(dim)
+    return np.r_[x, one + 0.42 * rng.standard_normal((1000, dim))].astype(np.float32)
+
+
+def test_recall_in_a_dense_group_over_many_lists(spark):
+    x, how = dense_third(), vectors.Scan(dim=128, list_size=10)
+    df = table(spark, x)
+    centres = vectors.fit(df.select(F.col("k").alias("id"), F.col("e").alias("embedding")), how)
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    assert len(set((u[2000:] @ centres.T).argmax(1))) >= 40
+    c = cosines(x.astype(np.float64))
+    got = collections.defaultdict(set)
+    for r in vectors.nearest(df, "k", "e", how=how).collect():
+        got[r["id"]].add(r["neighbour"])
+    group = range(2000, 3000)
+    assert sum(len(set(np.argsort(-c[i])[:5]) & got[i]) for i in group) >= 0.9 * 5 * len(group)
+    close = {(i, j) for i in group for j in np.argsort(-c[i])[:5] if c[i, j] >= 0.8}
+    found = {(r["id"], r["neighbour"]) for r in vectors.nearest(df, "k", "e", floor=0.8, how=how).collect()}
+    assert len(close & found) >= 0.9 * len(close)
+
+
 def test_floor_keeps_every_close_pair(spark):
     x = clustered(400)
     x = np.r_[x, x[:200] + 0.05 * np.random.default_rng(9).standard_normal((200, 32))].astype(np.float32)
