@@ -2,7 +2,7 @@
 
 A spherical k-means fitted on a bounded sample gives the lists; every vector is
 stored in its nearest list and visits every other list whose centre is almost as
-near, however many they are.  Vectors are turned by one random rotation, after which any block of
+near, however many they are, and further ones until k other ids are in reach.  Vectors are turned by one random rotation, after which any block of
 leading dimensions estimates a distance without bias.  Within a list the
 distances of all candidates are taken over the first block of dimensions; a
 hypothesis test drops those whose partial distance is too large to still belong
@@ -68,24 +68,30 @@ def matrix(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
     return ok[good], (x[good] / norm[good, None]).astype(np.float32)
 
 
-def fit_centres(x: np.ndarray, k: int, seed: int, rounds: int = 12) -> np.ndarray:
-    """Spherical k-means; centres of the largest lists replace those of empty ones, split by a little noise."""
+def fit_centres(x: np.ndarray, k: int, seed: int, rounds: int = 12, settle: int = 3) -> np.ndarray:
+    """At most ``k`` centres by spherical k-means; a vector of the largest list replaces the centre of a nearly empty one.
+
+    None is replaced in the last ``settle`` rounds, which refine the new centres;
+    lists that are nearly empty even then are given up, so their vectors fall to
+    the neighbouring lists.
+    """
     rng = np.random.default_rng(seed)
     k = min(k, len(x))
     centres = x[rng.choice(len(x), k, replace=False)].copy()
-    for _ in range(rounds):
+    few = lambda sizes: sizes * 8 * k < len(x)
+    for left in reversed(range(rounds)):
         home = (x @ centres.T).argmax(1)
         sizes = np.bincount(home, minlength=k)
         sums = np.zeros_like(centres)
         np.add.at(sums, home, x)
-        for c in np.flatnonzero(sizes * 8 * k < len(x)):  # nearly empty: take half of a large list
+        for c in np.flatnonzero(few(sizes)) if left >= settle else ():  # nearly empty: take half of a large list
             big = int(sizes.argmax())
             sums[c] = x[rng.choice(np.flatnonzero(home == big))] if (home == big).any() else x[rng.integers(len(x))]
             sizes[big] //= 2
             sizes[c] = 1
         norm = np.linalg.norm(sums, axis=1, keepdims=True)
         centres = np.where(norm > 0, sums / np.where(norm > 0, norm, 1), centres)
-    return centres.astype(np.float32)
+    return centres[~few(np.bincount((x @ centres.T).argmax(1), minlength=k))].astype(np.float32)
 
 
 class ListScan:
@@ -94,6 +100,7 @@ class ListScan:
     def __init__(self, stored: np.ndarray, how: Scan, k: int, floor: float | None) -> None:
         dim = stored.shape[1]
         self.how, self.k, self.dim = how, min(k, len(stored)), dim
+        self.all = floor is None  # k are wanted, however far
         self.ends = sorted({max(1, round(s * dim)) for s in how.blocks} | {dim})
         self.x = stored
         self.squares = np.cumsum(np.stack([(stored[:, a:b] ** 2).sum(1) for a, b in zip([0, *self.ends], self.ends)]), axis=0)
@@ -109,7 +116,10 @@ class ListScan:
         near = np.argpartition(partial, self.k - 1, axis=1)[:, : self.k]
         exact = 2 - 2 * np.einsum("qd,qkd->qk", q, self.x[near])
         radius = np.minimum(exact.max(1), self.start) + 1e-5
-        at_q, at_x = np.nonzero(partial * (self.dim / d0) <= (radius * (1 + self.how.epsilon / d0**0.5) ** 2)[:, None])
+        sure = np.zeros(partial.shape, bool)
+        if self.all:
+            np.put_along_axis(sure, near, True, axis=1)  # so that no test leaves fewer than k
+        at_q, at_x = np.nonzero((partial * (self.dim / d0) <= (radius * (1 + self.how.epsilon / d0**0.5) ** 2)[:, None]) | sure)
         dot = dots[at_q, at_x]
         for i in range(1, len(self.ends)):
             a, b = self.ends[i - 1], self.ends[i]
@@ -122,7 +132,7 @@ class ListScan:
                     dot[s:e] += np.einsum("nd,nd->n", q[at_q[s:e], a:b], self.x[at_x[s:e], a:b])
             if b < self.dim:
                 far = squares[i][at_q] + self.squares[i][at_x] - 2 * dot
-                keep = far * (self.dim / b) <= radius[at_q] * (1 + self.how.epsilon / b**0.5) ** 2
+                keep = (far * (self.dim / b) <= radius[at_q] * (1 + self.how.epsilon / b**0.5) ** 2) | sure[at_q, at_x]
                 at_q, at_x, dot = at_q[keep], at_x[keep], dot[keep]
         cosine = dot / np.sqrt(squares[-1][at_q] * self.squares[-1][at_x])
         order = np.lexsort((at_x, -cosine, at_q))
@@ -131,38 +141,57 @@ class ListScan:
         return at_q[rank < self.k], at_x[rank < self.k], cosine[rank < self.k]
 
 
-def _codes(how: Scan, centres: np.ndarray, turn):
+def _usable(batches: Iterator[pa.RecordBatch], dim: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(ids, unit vectors) of the rows that count, in slices."""
+    for whole in batches:
+        for at in range(0, whole.num_rows, 1024):
+            batch = whole.slice(at, 1024)
+            rows, x = matrix(batch.column(1), dim)
+            ids = batch.column(0).take(pa.array(rows))
+            known = np.flatnonzero(~ids.is_null().to_numpy(zero_copy_only=False))
+            if len(known):
+                yield ids.to_numpy(zero_copy_only=False)[known].astype(np.int64), x[known]
+
+
+def _homes(how: Scan, centres: np.ndarray):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, x in _usable(batches, how.dim):
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array((x @ centres.T).argmax(1).astype(np.int32))], names=["id", "list"])
+
+    return run
+
+
+def visited(near: np.ndarray, held: np.ndarray, margin: float, least: int) -> np.ndarray:
+    """Which lists each vector goes to: all within the margin, and the next nearest until they hold ``least`` ids."""
+    go = near >= near.max(1)[:, None] - margin
+    for r in np.flatnonzero(go @ held < least):
+        order = np.argsort(-near[r], kind="stable")
+        go[r, order[: np.searchsorted(np.cumsum(held[order]), least) + 1]] = True
+    return go
+
+
+def _codes(how: Scan, centres: np.ndarray, turn, held: np.ndarray, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rot = turn.value
-        turned = centres @ rot
-        for whole in batches:
-            for at in range(0, whole.num_rows, 1024):
-                batch = whole.slice(at, 1024)
-                rows, x = matrix(batch.column(1), how.dim)
-                ids = batch.column(0).take(pa.array(rows))
-                known = np.flatnonzero(~ids.is_null().to_numpy(zero_copy_only=False))
-                if not len(known):
-                    continue
-                ids, x = ids.to_numpy(zero_copy_only=False)[known].astype(np.int64), x[known]
-                y = x @ rot
-                near = y @ turned.T
-                home = near.argmax(1)
-                go = near >= near.max(1)[:, None] - how.margin
-                code = [c.tobytes() for c in y.astype(np.float16)]
-                kind = np.array([xxhash.xxh64_intdigest(v.tobytes()) - 2**63 for v in x], np.int64)
-                rows, lists = np.nonzero(go)
-                for s in range(0, len(rows), 4096):  # a vector of a dense group visits many lists
-                    row, at_list = rows[s : s + 4096], lists[s : s + 4096]
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array(at_list.astype(np.int32)),
-                            pa.array((at_list != home[row]).astype(np.int8)),
-                            pa.array(kind[row]),
-                            pa.array(ids[row]),
-                            pa.array([code[r] for r in row], pa.binary()),
-                        ],
-                        names=["list", "visiting", "kind", "id", "code"],
-                    )
+        for ids, x in _usable(batches, how.dim):
+            near = x @ centres.T
+            home = near.argmax(1)
+            go = visited(near, held, how.margin, k + 1)
+            code = [c.tobytes() for c in (x @ rot).astype(np.float16)]
+            kind = np.array([xxhash.xxh64_intdigest(v.tobytes()) - 2**63 for v in x], np.int64)
+            rows, lists = np.nonzero(go)
+            for s in range(0, len(rows), 4096):  # a vector of a dense group visits many lists
+                row, at_list = rows[s : s + 4096], lists[s : s + 4096]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(at_list.astype(np.int32)),
+                        pa.array((at_list != home[row]).astype(np.int8)),
+                        pa.array(kind[row]),
+                        pa.array(ids[row]),
+                        pa.array([code[r] for r in row], pa.binary()),
+                    ],
+                    names=["list", "visiting", "kind", "id", "code"],
+                )
 
     return run
 
@@ -257,7 +286,12 @@ def nearest(vectors: DataFrame, key: str, embedding: str = "embedding", *, k: in
     rows = vectors.select(F.col(key).cast("bigint").alias("id"), F.col(embedding).cast("array<float>").alias("embedding"))
     centres = fit(rows.where("id IS NOT NULL AND embedding IS NOT NULL"), how)
     turn = spark.sparkContext.broadcast(rotation(how.dim, how.seed))  # dim x dim, whatever the collection
-    coded = rows.mapInArrow(_codes(how, centres, turn), "list int, visiting tinyint, kind bigint, id bigint, code binary")
+    # an id with several vectors counts in one list, so lists never hold fewer ids than their sum
+    own = rows.mapInArrow(_homes(how, centres), "id bigint, list int").groupBy("id").agg(F.min("list").alias("list"))
+    held = np.zeros(len(centres), np.int64)
+    for r in own.groupBy("list").count().collect():  # one row per list
+        held[r["list"]] = r["count"]
+    coded = rows.mapInArrow(_codes(how, centres, turn, held, k), "list int, visiting tinyint, kind bigint, id bigint, code binary")
     listed = coded.repartitionById(max(1, len(centres)), F.col("list")).sortWithinPartitions("list", "visiting", "kind", "id")
     found = listed.mapInArrow(_scan(how, k, floor), "id bigint, neighbour bigint, cosine double")
     if floor is not None:

@@ -195,6 +195,33 @@ def test_recall_on_the_index(spark):
     assert sum(len({ids[j] for j in np.argsort(-c[n])[:5]} & got[i]) for n, i in enumerate(ids)) >= 0.9 * 5 * min(len(ids), len(ids))
 
 
+@pytest.fixture(scope="module")
+def many_lists(spark):
+    """Usable vectors of sf0.1 by id, and neighbours by the defaults but for lists so small that there are over 40."""
+    how = vectors.Scan(list_size=50)
+    rows = spark.read.parquet("/root/testdata/sf0.1/canonical_index.parquet").select("question_id", "embedding")
+    ok, x = vectors.matrix(rows.toArrow().column("embedding"), how.dim)
+    ids = rows.toArrow().column("question_id").to_numpy()[ok]
+    known = ~np.isnan(ids.astype(np.float64))
+    unique, at = np.unique(ids[known].astype(np.int64), return_index=True)
+    got = collections.defaultdict(dict)
+    for r in vectors.nearest(rows, "question_id", how=how).collect():
+        got[r["id"]][r["neighbour"]] = r["cosine"]
+    return unique, x[known][at], got, vectors.fit(rows.where("question_id IS NOT NULL AND embedding IS NOT NULL").withColumnRenamed("question_id", "id"), how)
+
+
+def test_every_id_has_all_neighbours_with_many_lists(many_lists):
+    ids, _, got, _ = many_lists
+    assert set(got) == set(ids) and all(len(v) == 5 for v in got.values())
+
+
+def test_small_lists_send_their_vectors_further():
+    near = np.array([[1.0, 0.2, 0.5, 0.1], [0.1, 0.9, 0.2, 0.0]])
+    go = vectors.visited(near, np.array([1, 9, 2, 50]), 0.06, 6)
+    assert go.tolist() == [[True, True, True, False], [False, True, False, False]]
+    assert vectors.visited(near, np.array([1, 1, 1, 1]), 0.06, 6).all()  # fewer ids than wanted: everywhere
+
+
 # --- terms ----------------------------------------------------------------------
 
 
