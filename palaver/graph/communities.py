@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,6 +14,9 @@ from palaver.graph.build import undirected
 from palaver.sources.materialize import materialize
 
 CONFIG = GraphConfig()
+MAX_ROUNDS = 400
+MAX_LEVELS = 60
+ONE_TASK = 500_000  # links that one task holds
 
 
 def modularity(links: DataFrame, partition: DataFrame, resolution: float = 1.0) -> DataFrame:
@@ -40,16 +47,59 @@ def _move(links: DataFrame, state: DataFrame, m2: float, resolution: float, turn
     gain = F.col("w") - F.lit(resolution / m2) * F.col("degree") * rest
     stay = F.max(F.when(F.col("community") == F.col("now"), F.col("gain")))
     best = options.withColumn("gain", gain).groupBy("id").agg(F.max(F.struct("gain", (-F.col("community")).alias("c"))).alias("best"), stay.alias("stay"))
-    moves = (F.col("best")["gain"] > F.col("stay") + 1e-12) & (F.pmod(F.xxhash64("id", F.lit(turn)), F.lit(2)) == 0)
-    goes = F.coalesce(moves, F.lit(False))
-    return state.join(best, "id", "left").select("id", "degree", F.when(goes, -F.col("best")["c"]).otherwise(F.col("community")).alias("community"), goes.alias("moved"))
+    gains = F.coalesce(F.col("best")["gain"] > F.col("stay") + 1e-9, F.lit(False))
+    goes = gains & (F.pmod(F.xxhash64("id", F.lit(turn)), F.lit(2)) == 0)
+    return state.join(best, "id", "left").select("id", "degree", F.when(goes, -F.col("best")["c"]).otherwise(F.col("community")).alias("community"), gains.alias("gains"))
+
+
+def _rounds(links: DataFrame, m2: float, resolution: float, level: int, max_rounds: int) -> DataFrame:
+    """(id, community, ...) when no node gains any more, one written table a round."""
+    # both ends of every edge, so a loop counts twice in its node's degree
+    state = links.select(F.explode(F.array("a", "b")).alias("id"), "weight").groupBy("id").agg(F.sum("weight").alias("degree")).withColumn("community", F.col("id"))
+    for turn in range(max_rounds):
+        state = materialize(_move(links, state, m2, resolution, level * max_rounds + turn), "louvain")
+        if not state.where("gains").take(1):  # so none has moved in this round either
+            return state
+    raise RuntimeError(f"communities did not settle in {max_rounds} rounds of level {level}")
+
+
+def _settle(links: DataFrame, m2: float, resolution: float, level: int, max_rounds: int) -> DataFrame:
+    """(id, community) when no node gains any more: the rounds of :func:`_move`, in one task."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = pd.concat(list(batches))
+        ids, ends = np.unique(np.r_[rows["a"], rows["b"]], return_inverse=True)
+        n, (a, b), w = len(ids), ends.reshape(2, -1), rows["weight"].to_numpy(np.float64)
+        degree = np.bincount(a, w, n) + np.bincount(b, w, n)
+        apart = a != b
+        src, dst, weight = np.r_[a[apart], b[apart]], np.r_[b[apart], a[apart]], np.r_[w[apart], w[apart]]
+        now, me, rng = np.arange(n), np.arange(n), np.random.default_rng(level)
+        for _ in range(max_rounds):
+            volume = np.bincount(now, degree, n)
+            options, at = np.unique(np.r_[src * n + now[dst], me * n + now], return_inverse=True)
+            i, c = options // n, options % n
+            own = c == now[i]
+            gain = np.bincount(at, np.r_[weight, np.zeros(n)]) - resolution / m2 * degree[i] * (volume[c] - np.where(own, degree[i], 0))
+            order = np.lexsort((c, -gain, i))
+            best = order[np.r_[True, np.diff(i[order]) > 0]]
+            gains = gain[best] > gain[own] + 1e-9  # both hold one option per node, in order
+            if not gains.any():
+                yield pd.DataFrame({"id": ids, "community": ids[now]})
+                return
+            now = np.where(gains & (rng.random(n) < 0.5), c[best], now)
+        raise RuntimeError(f"communities did not settle in {max_rounds} rounds of level {level}")
+
+    return links.select("a", "b", "weight").repartition(1).mapInPandas(run, "id bigint, community bigint")
 
 
-def louvain(edges: DataFrame, *, rounds: int = 8, levels: int = 4, cfg: GraphConfig = CONFIG) -> DataFrame:
+def louvain(edges: DataFrame, *, max_rounds: int = MAX_ROUNDS, max_levels: int = MAX_LEVELS, one_task: int = ONE_TASK, cfg: GraphConfig = CONFIG) -> DataFrame:
     """(id, community) of every node of directed weighted ``edges``; the community is named by its smallest node.
 
     Moves are simultaneous, so in each round only one half of the nodes, by
-    hash, may move.  A level is kept only if modularity rises.
+    hash, may move.  A level ends when no node of either half gains by moving, and
+    is kept only if modularity rises; the first that is not ends the run.  Raises
+    if ``max_rounds`` or ``max_levels`` do not suffice, rather than stop early.
+    A level of at most ``one_task`` links runs its many short rounds in one task.
     """
     links = materialize(undirected(edges), "links")
     whole = links
@@ -57,16 +107,12 @@ def louvain(edges: DataFrame, *, rounds: int = 8, levels: int = 4, cfg: GraphCon
     score = modularity(whole, known, cfg.louvain_resolution).first()["modularity"]
     if score is None:
         return known
-    for level in range(levels):
-        # both ends of every edge, so a loop counts twice in its node's degree
-        state = links.select(F.explode(F.array("a", "b")).alias("id"), "weight").groupBy("id").agg(F.sum("weight").alias("degree")).withColumn("community", F.col("id"))
+    for level in range(max_levels):
         m2 = float(links.agg(2 * F.sum("weight")).first()[0])
-        still = 0
-        for turn in range(rounds):
-            state = materialize(_move(links, state, m2, cfg.louvain_resolution, level * rounds + turn), "louvain")
-            still = still + 1 if not state.where("moved").take(1) else 0
-            if still == 2:  # neither half of the nodes moves any more
-                break
+        if links.count() <= one_task:
+            state = materialize(_settle(links, m2, cfg.louvain_resolution, level, max_rounds), "louvain")
+        else:
+            state = _rounds(links, m2, cfg.louvain_resolution, level, max_rounds)
         merged = known.join(state.select(F.col("id").alias("community"), F.col("community").alias("up")), "community").select("id", F.col("up").alias("community"))
         merged = materialize(merged, "community")
         new = modularity(whole, merged, cfg.louvain_resolution).first()["modularity"]
@@ -75,5 +121,7 @@ def louvain(edges: DataFrame, *, rounds: int = 8, levels: int = 4, cfg: GraphCon
         known, score = merged, new
         up = lambda e: state.select(F.col("id").alias(e), F.col("community").alias(f"c{e}"))
         links = materialize(links.join(up("a"), "a").join(up("b"), "b").groupBy(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).agg(F.sum("weight").alias("weight")), "links")
+    else:
+        raise RuntimeError(f"modularity still rises after {max_levels} levels")
     names = known.groupBy("community").agg(F.min("id").alias("name"))
     return known.join(names, "community").select("id", F.col("name").alias("community"))

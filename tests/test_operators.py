@@ -100,6 +100,22 @@ def test_louvain_finds_two_cliques(spark):
     assert q["communities"] == 2 and 0.4 < q["modularity"] < 0.5
 
 
+def test_louvain_runs_until_no_merge_helps(spark):
+    n = 2000
+    e = spark.range(n - 1).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"), F.lit(1).cast("bigint").alias("weight"))
+    of = {r["id"]: r["community"] for r in communities.louvain(e).collect()}
+    volume = {}
+    for i in range(n):
+        volume[of[i]] = volume.get(of[i], 0) + (1 if i in (0, n - 1) else 2)
+    m = n - 1
+    assert all(of[i] == of[i + 1] or 1 - volume[of[i]] * volume[of[i + 1]] / (2 * m) <= 1e-6 for i in range(n - 1))
+
+
+def test_louvain_raises_at_its_ceiling(spark):
+    with pytest.raises(RuntimeError):
+        communities.louvain(frame(spark, {(1, 2): 1, (2, 3): 1}), max_rounds=1, one_task=0)
+
+
 def test_cascade_counts_the_first_failing_rule(spark):
     t = 1700000000
     rows = [(None, 1, t), (0, 0, t), (0, 5, t), (5, 5, t), (5, 6, 0), (5, 6, None), (5, 6, t)]
