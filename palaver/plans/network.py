@@ -196,7 +196,7 @@ def _centralities(spark: SparkSession, d: str) -> DataFrame:
 
 @REGISTRY.query("authority_wide_table")
 def authority_wide_table(spark: SparkSession, d: str) -> DataFrame:
-    """Statistics, score, community and all centralities of every user; rows only, its parts have their own SQL."""
+    """Statistics, score, community and the seven centralities of METHODS of every user; rows only, its parts have their own SQL."""
     groups = communities.louvain(edges(spark, d))
     return authority.wide_table(first(spark, d, "users", "display_name", "reputation"), stats(spark, d), _synthesis(spark, d), groups, _centralities(spark, d), METHODS)
 
