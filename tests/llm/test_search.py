@@ -140,9 +140,9 @@ def dense_third(dim=128, seed=6):
 def test_recall_in_a_dense_group_over_many_lists(spark):
     x, how = dense_third(), vectors.Scan(dim=128, list_size=10)
     df = table(spark, x)
-    centres = vectors.fit(df.select(F.col("k").alias("id"), F.col("e").alias("embedding")), how)
+    lists = vectors.fit(df.select(F.col("k").alias("id"), F.col("e").alias("embedding")), how)
     u = x / np.linalg.norm(x, axis=1, keepdims=True)
-    assert len(set((u[2000:] @ centres.T).argmax(1))) >= 40
+    assert len(set(lists.home(u[2000:], u[2000:]))) >= 40
     c = cosines(x.astype(np.float64))
     got = collections.defaultdict(set)
     for r in vectors.nearest(df, "k", "e", how=how).collect():
@@ -183,36 +183,71 @@ def test_fewer_rows_than_neighbours_and_none(spark):
     assert vectors.nearest(spark.createDataFrame([], "k bigint, e array<float>"), "k", "e", how=HOW).count() == 0
 
 
-def test_recall_on_the_index(spark):
-    rows = spark.read.parquet(f"{DATA}/canonical_index.parquet")
-    x = {r["question_id"]: np.array(r["embedding"], np.float64) for r in rows.collect() if r["embedding"] is not None and len(r["embedding"]) == 1536}
-    x = {k: v for k, v in x.items() if np.isfinite(v).all() and np.linalg.norm(v) > 0}
-    ids = sorted(x)
-    c = cosines(np.stack([x[i] for i in ids]))
-    got = collections.defaultdict(set)
-    for r in vectors.nearest(rows, "question_id").collect():
-        got[r["id"]].add(r["neighbour"])
-    assert sum(len({ids[j] for j in np.argsort(-c[n])[:5]} & got[i]) for n, i in enumerate(ids)) >= 0.9 * 5 * min(len(ids), len(ids))
+def index(spark, folder):
+    """Usable vectors of the stored index by id."""
+    rows = spark.read.parquet(f"{folder}/canonical_index.parquet").select("question_id", "embedding")
+    held = rows.toArrow()
+    ok, x = vectors.matrix(held.column("embedding"), 1536)
+    ids = held.column("question_id").to_numpy()[ok].astype(np.float64)
+    known = ~np.isnan(ids)
+    unique, at = np.unique(ids[known].astype(np.int64), return_index=True)
+    return rows, unique, x[known][at]
 
 
-@pytest.fixture(scope="module")
-def many_lists(spark):
-    """Usable vectors of sf0.1 by id, and neighbours by the defaults but for lists so small that there are over 40."""
-    how = vectors.Scan(list_size=50)
-    rows = spark.read.parquet("/root/testdata/sf0.1/canonical_index.parquet").select("question_id", "embedding")
-    ok, x = vectors.matrix(rows.toArrow().column("embedding"), how.dim)
-    ids = rows.toArrow().column("question_id").to_numpy()[ok]
-    known = ~np.isnan(ids.astype(np.float64))
-    unique, at = np.unique(ids[known].astype(np.int64), return_index=True)
+def answers(rows, **how):
     got = collections.defaultdict(dict)
-    for r in vectors.nearest(rows, "question_id", how=how).collect():
+    for r in vectors.nearest(rows, "question_id", **how).collect():
         got[r["id"]][r["neighbour"]] = r["cosine"]
-    return unique, x[known][at], got, vectors.fit(rows.where("question_id IS NOT NULL AND embedding IS NOT NULL").withColumnRenamed("question_id", "id"), how)
-
-
-def test_every_id_has_all_neighbours_with_many_lists(many_lists):
-    ids, _, got, _ = many_lists
+    return got
+
+
+def recall(ids, x, got, k=5):
+    """Share of the true k nearest that were found; cosines within 1e-9 of the k-th are as good."""
+    hits = 0
+    for s in range(0, len(ids), 500):
+        c = x[s : s + 500].astype(np.float64) @ x.T.astype(np.float64)
+        c[np.arange(len(c)), np.arange(s, s + len(c))] = -2
+        for row, i in zip(c, ids[s : s + 500]):
+            hits += len({ids[j] for j in np.argsort(-row, kind="stable")[:k]} & set(got[i]))
+    return hits / (k * len(ids))
+
+
+@pytest.mark.parametrize("how", [vectors.Scan(list_size=50), vectors.Scan(list_size=50, flat=8, block=40)], ids=["one level", "two levels, blocks"])
+def test_recall_over_many_lists(spark, how):
+    """The whole index of sf0.1, 1,536 dimensions, over 40 lists; by pairs of centres and split lists too."""
+    rows, ids, x = index(spark, "/root/testdata/sf0.1")
+    lists = vectors.fit(rows.where("question_id IS NOT NULL AND embedding IS NOT NULL").withColumnRenamed("question_id", "id"), how)
+    used = len(set(lists.home(x, x @ vectors.rotation(1536, how.seed)[:, : how.leading])))
+    assert used >= 40
+    got = answers(rows, how=how)
     assert set(got) == set(ids) and all(len(v) == 5 for v in got.values())
+    share = recall(ids, x, got)
+    print(f"recall over {used} lists: {share:.4f}")
+    assert share >= 0.9
+
+
+def test_exact_is_brute_force(spark):
+    rows, ids, x = index(spark, "/root/testdata/sf0.01")
+    got = answers(rows, how=vectors.Scan(list_size=20, flat=4, block=16), exact=True)
+    assert recall(ids, x, got) == 1
+
+
+def test_open_choices_are_settled_in_double_precision(spark):
+    rng = np.random.default_rng(3)
+    one = rng.standard_normal(64)
+    near = one + 0.5 * rng.standard_normal((40, 64)) / 1
+    # forty candidates whose cosines to the first differ by less than half precision tells
+    u = one / np.linalg.norm(one)
+    side = near - (near @ u)[:, None] * u
+    side /= np.linalg.norm(side, axis=1, keepdims=True)
+    angle = 0.8 + 2e-6 * np.arange(40)[:, None]
+    x = np.r_[u[None], angle * u + np.sqrt(1 - angle**2) * side].astype(np.float32)
+    c = cosines(x.astype(np.float64))
+    how = vectors.Scan(dim=64, epsilon=9.0)
+    got = {r["neighbour"] for r in vectors.nearest(table(spark, x), "k", "e", how=how).where("id = 0").collect()}
+    assert got == {int(j) for j in np.argsort(-c[0])[:5]}
+    kept = {r["neighbour"] for r in vectors.nearest(table(spark, x), "k", "e", k=40, floor=0.80004, how=how).where("id = 0").collect()}
+    assert kept == {int(j) for j in np.flatnonzero(c[0] >= 0.80004)}
 
 
 def test_small_lists_send_their_vectors_further():
@@ -222,6 +257,11 @@ def test_small_lists_send_their_vectors_further():
     assert vectors.visited(near, np.array([1, 1, 1, 1]), 0.06, 6).all()  # fewer ids than wanted: everywhere
 
 
+def test_large_lists_are_split():
+    n, start = vectors.blocks_of(np.array([0, 1, 40, 41, 0, 400]), 40)
+    assert n.tolist() == [0, 1, 1, 2, 0, 10] and start.tolist() == [0, 0, 1, 2, 4, 4]
+
+
 # --- terms ----------------------------------------------------------------------
 
 
