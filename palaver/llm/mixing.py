@@ -10,17 +10,16 @@ ordered by another hash, a global shuffle.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 MAX_SOURCES = 100_000
 SALTS = 32
-_NEGLIGIBLE = 1e-12
-_OWN = ("__mix_cdf", "__mix_n", "__mix_salt")
+_OWN = ("__mix_base", "__mix_cdf", "__mix_n", "__mix_salt")
 
 
 def mix_plan(counted: DataFrame, mix: DataFrame) -> DataFrame:
@@ -49,37 +48,46 @@ def mix_plan(counted: DataFrame, mix: DataFrame) -> DataFrame:
     })
 
 
-def truncated_cdf(rate: float, cap: int) -> list[float]:
-    """P(N <= k) for k = 0 .. of a Poisson number truncated at ``cap`` whose mean is ``rate``.
+def truncated_cdf(rate: float, cap: int) -> tuple[int, list[float]]:
+    """(base, cdf) of a Poisson number truncated at ``cap`` whose mean is ``rate``: cdf[i] = P(N <= base + i).
 
-    The list ends at the cap or where the rest is negligible; N at uniform u is
-    the number of entries below u.  A rate of 0 gives no repeats, one of the cap
-    or more always the cap.
+    The list starts and ends where the rest is negligible; N at uniform u is
+    ``base`` plus the number of entries below u.  A rate of 0 gives no repeats,
+    one of the cap or more always the cap.  Probabilities are cumulated from
+    logarithms, so no rate is too high.
     """
     if rate <= 0 or cap <= 0:
-        return []
+        return 0, []
     if rate >= cap:
-        return [-1.0] * cap
-
-    def spread(mean: float) -> list[float]:
-        out, p, total = [], math.exp(-mean), 0.0
-        for k in range(cap):
-            total += p
-            out.append(total)
-            if k > mean and 1 - total < _NEGLIGIBLE:
-                break
-            p *= mean / (k + 1)
-        return out
-
-    # E[min(N, cap)] = sum over k < cap of P(N > k), increasing in the Poisson mean
-    got = lambda mean: sum(1 - c for c in spread(mean))
-    lo, hi = rate, rate + 1.0
-    while got(hi) < rate and hi < 700:
-        hi *= 2
-    for _ in range(60):
+        return cap, []
+
+    def spread(mean: float) -> tuple[int, np.ndarray]:
+        reach = 10 * mean**0.5 + 40  # beyond that less than 1e-15 is left
+        lo, hi = max(0, int(mean - reach)), min(cap, int(mean + reach) + 1)
+        if lo >= hi:
+            return cap, np.empty(0)
+        k = np.arange(lo, hi)
+        start = lo * np.log(mean) - mean - sum_of_logs(lo)
+        steps = np.r_[0.0, np.cumsum(np.log(mean) - np.log(k[1:]))]
+        return lo, np.minimum(np.cumsum(np.exp(start + steps)), 1.0)
+
+    def got(mean: float) -> float:
+        base, cdf = spread(mean)  # E[min(N, cap)] = sum over k < cap of P(N > k), increasing in the Poisson mean
+        return base + float((1 - cdf).sum())
+
+    lo, hi = rate, cap + 12 * cap**0.5 + 60.0
+    if got(hi) < rate:  # so near the cap that the mean of the cap itself is the rate
+        return cap, []
+    for _ in range(80):
         mid = (lo + hi) / 2
         lo, hi = (mid, hi) if got(mid) < rate else (lo, mid)
-    return spread(hi)
+    base, cdf = spread(hi)
+    return base, cdf.tolist()
+
+
+def sum_of_logs(n: int) -> float:
+    """log(n!)."""
+    return float(np.log(np.arange(1, n + 1)).sum())
 
 
 def _uniform(seed: int, *keys: str) -> Column:
@@ -97,10 +105,11 @@ def replicate(docs: DataFrame, plan: DataFrame, key: str = "doc_id", *, seed: in
 
     def invert(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
-            yield pd.DataFrame({"source": rows["source"], "__mix_cdf": [truncated_cdf(r, int(c)) for r, c in zip(rows["rate"], rows["cap"])]})
+            drawn = [truncated_cdf(r, int(c)) for r, c in zip(rows["rate"], rows["cap"])]
+            yield pd.DataFrame({"source": rows["source"], "__mix_base": [b for b, _ in drawn], "__mix_cdf": [c for _, c in drawn]})
 
     own = docs.drop("copy_no", *_OWN)
-    draws = plan.select("source", "rate", F.coalesce("max_repeats", F.lit(0)).alias("cap")).mapInPandas(invert, "source string, __mix_cdf array<double>")
+    draws = plan.select("source", "rate", F.coalesce("max_repeats", F.lit(0)).alias("cap")).mapInPandas(invert, "source string, __mix_base int, __mix_cdf array<double>")
     small = [tuple(r) for r in draws.limit(max_sources + 1).collect()]
     if len(small) <= max_sources:
         joined = own.join(F.broadcast(docs.sparkSession.createDataFrame(small, draws.schema)), "source")
@@ -108,7 +117,7 @@ def replicate(docs: DataFrame, plan: DataFrame, key: str = "doc_id", *, seed: in
         salted = draws.withColumn("__mix_salt", F.explode(F.array(*map(F.lit, range(SALTS)))))
         joined = own.withColumn("__mix_salt", F.pmod(F.xxhash64(key), F.lit(SALTS)).cast("int")).join(salted, ["source", "__mix_salt"])
     u = _uniform(seed, key)
-    times = F.size(F.filter("__mix_cdf", lambda c: c < u))
+    times = F.col("__mix_base") + F.size(F.filter("__mix_cdf", lambda c: c < u))
     many = joined.withColumn("__mix_n", times).where("__mix_n > 0")
     return many.withColumn("copy_no", F.explode(F.sequence(F.lit(0), F.col("__mix_n") - 1))).drop(*_OWN)
 
@@ -119,11 +128,19 @@ def shuffled(copies: DataFrame, key: str = "doc_id", *, seed: int = 0) -> DataFr
 
 
 def shares(copies: DataFrame, plan: DataFrame) -> DataFrame:
-    """Per source of the plan: target and reached share, copies, tokens and whether the cap makes it short."""
+    """Per source of the plan: target and reached share, copies, tokens, and whether it is short by what was mixed.
+
+    ``short`` is read off the copies: all documents of the source are there as
+    often as the cap allows, and still their tokens are fewer than the target.
+    That holds exactly for the sources whose tokens times the cap are fewer,
+    since those alone reach the cap with every document.
+    """
     got = copies.groupBy("source").agg(F.count(F.lit(1)).alias("copies"), F.sum("n_tokens").alias("mixed_tokens"))
     both = plan.join(got, "source", "left").na.fill(0, ["copies", "mixed_tokens"])
     whole = F.sum("mixed_tokens").over(Window.partitionBy(F.lit(1)))
+    full = F.col("copies") == F.col("documents") * F.coalesce("max_repeats", F.lit(0))
+    short = F.col("max_repeats").isNotNull() & full & (F.col("mixed_tokens").cast("double") < F.col("target_share") * F.col("total"))
     return both.select(
-        "source", "target_share", "tokens", "rate", "short", "copies", "mixed_tokens",
+        "source", "target_share", "tokens", "rate", F.coalesce(short, F.lit(False)).alias("short"), "copies", "mixed_tokens",
         F.coalesce(F.col("mixed_tokens") / F.nullif(whole, F.lit(0)), F.lit(0.0)).alias("reached_share"),
     )

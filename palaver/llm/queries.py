@@ -123,26 +123,23 @@ def p7_ids(spark: SparkSession, d: str) -> DataFrame:
 # --- 8: mixing ---------------------------------------------------------------
 
 
-def _counted(spark: SparkSession, d: str) -> DataFrame:
-    return tokens.count_tokens(table(spark, d, "documents"), "doc_id", "source")
+def _mixture(spark: SparkSession, d: str, *keep: str) -> tuple[DataFrame, DataFrame]:
+    """(copies, plan): every document as often as the plan draws it, with ``keep`` and its tokens, counted once."""
+    counted = materialize(tokens.count_tokens(table(spark, d, "documents"), "doc_id", "source", *keep), "counted")
+    plan = materialize(mixing.mix_plan(counted, table(spark, d, "source_mix")), "plan")
+    return mixing.replicate(counted, plan), plan
 
 
 @REGISTRY.query("p8_found")
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
-    """Sources that cannot reach their share within their cap."""
-    return mixing.mix_plan(_counted(spark, d), table(spark, d, "source_mix")).where("short").select("source")
-
-
-def _mixture(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    counted = materialize(_counted(spark, d), "counted")
-    plan = materialize(mixing.mix_plan(counted, table(spark, d, "source_mix")), "plan")
-    return mixing.replicate(counted, plan), plan
+    """Sources that do not reach their share in the mixture although every document is there as often as allowed."""
+    return mixing.shares(*_mixture(spark, d)).where("short").select("source")
 
 
 @REGISTRY.query("p8_mix")
 def p8_mix(spark: SparkSession, d: str) -> DataFrame:
-    """The mixture: document, copy and position in a global shuffle."""
-    return mixing.shuffled(_mixture(spark, d)[0]).select("doc_id", "source", "copy_no", "n_tokens", "position")
+    """The mixture: every copy of every document with its text, in a global shuffle."""
+    return mixing.shuffled(_mixture(spark, d, "text")[0]).select("doc_id", "source", "copy_no", "n_tokens", "position", "text")
 
 
 @REGISTRY.query("p8_shares")
@@ -151,6 +148,27 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.shares(*_mixture(spark, d))
 
 
+@REGISTRY.query(
+    "p8_caps",
+    "SELECT DISTINCT doc_id, true AS within_cap, true AS in_sequence, true AS text_kept FROM documents JOIN source_mix USING (source) WHERE target_share > 0 AND max_repeats > 0",
+)
+def p8_caps(spark: SparkSession, d: str) -> DataFrame:
+    """Of every document of the mix: whether its copies keep to the cap, are numbered without gaps, and carry its text."""
+    copies, _ = _mixture(spark, d, "text")
+    mix = table(spark, d, "source_mix")
+    per = copies.groupBy("doc_id").agg(
+        F.count(F.lit(1)).alias("n"), F.max("copy_no").alias("top"), F.count_distinct("copy_no").alias("numbers"), F.count_distinct("source", F.xxhash64("text")).alias("texts")
+    )
+    docs = table(spark, d, "documents").join(mix.where("target_share > 0 AND max_repeats > 0").select("source", "max_repeats"), "source").groupBy("doc_id").agg(F.max("max_repeats").alias("cap"), F.count(F.lit(1)).alias("rows"))
+    n = F.coalesce("n", F.lit(0))
+    return docs.join(per, "doc_id", "left").select(
+        "doc_id",
+        (n <= F.col("cap") * F.col("rows")).alias("within_cap"),
+        ((n == 0) | ((F.col("numbers") == F.col("top") + 1) & (n == F.col("numbers") * F.col("rows")))).alias("in_sequence"),
+        (F.coalesce("texts", F.lit(0)) <= F.col("rows")).alias("text_kept"),
+    )
+
+
 # --- 9: splitting ------------------------------------------------------------
 
 

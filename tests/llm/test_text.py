@@ -102,11 +102,17 @@ def test_split_documents(spark):
 
 
 def test_truncated_poisson_has_the_mean():
-    for rate, cap in ((0.3, 3), (1.0, 1), (2.7, 3), (2.99, 3), (5.0, 40), (0.0, 2), (9.0, 4)):
-        cdf = mixing.truncated_cdf(rate, cap)
-        mean = sum(1 - max(c, 0) for c in cdf)
-        assert mean == pytest.approx(min(rate, cap), abs=1e-6)
-        assert len(cdf) <= cap
+    for rate, cap in ((0.3, 3), (1.0, 1), (2.7, 3), (2.99, 3), (5.0, 40), (0.0, 2), (9.0, 4), (740, 1000), (760, 1000), (800, 1000), (999.5, 1000), (5000, 100_000), (5000, 5003), (123_456, 200_000)):
+        base, cdf = mixing.truncated_cdf(rate, cap)
+        assert base + sum(1 - c for c in cdf) == pytest.approx(min(rate, cap), rel=1e-9, abs=1e-6)
+        assert base + len(cdf) <= cap and cdf == sorted(cdf)
+
+
+def test_high_rates_give_poisson_counts():
+    base, cdf = mixing.truncated_cdf(800, 5000)
+    u = (np.arange(20_000) + 0.5) / 20_000
+    n = base + np.searchsorted(cdf, u, "left")
+    assert n.mean() == pytest.approx(800, abs=0.1) and n.var() == pytest.approx(800, rel=0.02)
 
 
 DOCS = "doc_id bigint, source string, n_tokens bigint"
@@ -126,6 +132,7 @@ def test_plan_and_shares(spark):
     total = 4000 * 10 + 300 * 20 + 50
     assert got["big"]["total"] == total and got["big"]["rate"] == pytest.approx(0.5 * total / 40000)
     assert {s for s, r in got.items() if r["short"]} == {"tiny", "absent"}
+    assert {r["source"] for r in mixing.shares(mixing.replicate(docs, plan), plan).where("short").collect()} == {"tiny", "absent"}
     copies = mixing.replicate(docs, plan)
     n = collections.Counter(r["doc_id"] for r in copies.collect())
     assert max(v for k, v in n.items() if 6000 <= k < 6010) == 3 and all(n[k] == 3 for k in range(6000, 6010))
