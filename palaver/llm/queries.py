@@ -120,6 +120,12 @@ def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.encode_corpus(table(spark, d, "documents"))
 
 
+@REGISTRY.query("p7_roundtrip", "SELECT doc_id, md5(coalesce(text, '')) AS digest FROM documents")
+def p7_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    """Digest of every document's text as it comes back from its token ids."""
+    return tokens.decode_corpus(p7_ids(spark, d)).select("doc_id", F.md5("text").alias("digest"))
+
+
 # --- 8: mixing ---------------------------------------------------------------
 
 
@@ -183,3 +189,20 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 def p9_pieces(spark: SparkSession, d: str) -> DataFrame:
     """All pieces of all documents."""
     return splitting.split_documents(table(spark, d, "documents"))
+
+
+@REGISTRY.query("p9_cover", "SELECT doc_id, md5(coalesce(text, '')) AS digest, true AS within_limit, true AS chained FROM documents")
+def p9_cover(spark: SparkSession, d: str) -> DataFrame:
+    """Of every document: digest of its pieces joined without their overlaps, whether all keep to the limit, and whether each begins with the end of the one before."""
+    new = F.coalesce(F.expr("substring(piece, char_new - char_start + 1)"), F.lit(""))
+    common = F.coalesce(F.expr("substring(piece, 1, char_new - char_start)"), F.lit(""))
+    per = splitting.split_documents(table(spark, d, "documents")).groupBy("doc_id").agg(
+        F.array_sort(F.collect_list(F.struct("piece_no", new.alias("new"), common.alias("common"), "piece", "n_tokens", "overlap_tokens", "char_new", "char_end"))).alias("p")
+    )  # the pieces of one document are about as large as the document
+    after = F.expr("slice(transform(p, (x, i) -> i = 0 OR (x.char_new = p[i - 1].char_end AND x.overlap_tokens BETWEEN 1 AND 80 AND endswith(p[i - 1].piece, x.common))), 2, size(p))")
+    return per.select(
+        "doc_id",
+        F.md5(F.array_join(F.transform("p", lambda x: x["new"]), "")).alias("digest"),
+        F.forall("p", lambda x: x["n_tokens"] <= splitting.LIMIT).alias("within_limit"),
+        F.forall(after, lambda x: x).alias("chained"),
+    )

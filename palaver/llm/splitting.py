@@ -1,7 +1,8 @@
 """Splitting texts over a token limit at natural boundaries, by recursive bisection.
 
 A text over the limit is cut at the strongest boundary near its middle -
-paragraph, line, sentence, clause, word - and the halves are cut again while
+paragraph, line, sentence, clause, word - or, where an unbroken run fills the
+middle, at the nearest boundary beside it; the halves are cut again while
 they exceed the limit less the overlap.  Then each piece but the first is
 prefixed with the last tokens of the piece before it, and its own token count is
 taken from its text; should it pass the limit, its new part is cut once more.
@@ -78,13 +79,21 @@ def _strengths(text: str, starts: np.ndarray) -> np.ndarray:
 
 
 def _cut(a: int, b: int, cum: np.ndarray, strength: np.ndarray) -> int:
-    """The strongest boundary in the middle half of units [a, b), the nearest to the midpoint on ties."""
+    """The strongest boundary in the middle half of units [a, b), the nearest to the midpoint on ties.
+
+    Where the middle half has none at all, the boundary nearest to the midpoint anywhere;
+    only a range without any is cut between tokens.
+    """
     middle, reach = (cum[a] + cum[b]) / 2, (cum[b] - cum[a]) / 4
     lo = max(a + 1, int(np.searchsorted(cum, middle - reach, "left")))
     hi = min(b - 1, int(np.searchsorted(cum, middle + reach, "right")) - 1)
-    if lo > hi:
-        return min(max(a + 1, int(np.searchsorted(cum, middle))), b - 1)
-    best = np.flatnonzero(strength[lo : hi + 1] == strength[lo : hi + 1].max()) + lo
+    if lo > hi:  # one unit fills the middle half
+        lo = hi = min(max(a + 1, int(np.searchsorted(cum, middle))), b - 1)
+    top = strength[lo : hi + 1].max()
+    if not top and strength[a + 1 : b].any():
+        best = np.flatnonzero(strength[a + 1 : b]) + a + 1
+    else:
+        best = np.flatnonzero(strength[lo : hi + 1] == top) + lo
     return int(best[np.argmin(np.abs(cum[best] - middle))])
 
 

@@ -8,8 +8,8 @@ anywhere become routes; every container is sent, or divided, to the longest
 route that starts its terms - terms under no route go by a hash - and there the
 subtrees of all workers are merged, one route at a time.
 
-Routes only balance the load; their number is bounded and the result is the
-same for any set of them.
+Routes only balance the load; their number follows from the number of terms in
+all leaves, and the result is the same for any set of them.
 """
 
 from __future__ import annotations
@@ -25,7 +25,8 @@ from pyspark.sql import functions as F
 from palaver.sources.materialize import materialize
 
 BURST = 256
-MAX_ROUTES = 4096
+PER_ROUTE = 20_000
+LEAST_ROUTES = 1024
 MAX_TERMS = 1_000_000
 _STEP = 5000
 
@@ -139,8 +140,15 @@ def route_of(term: str, routes: frozenset[str], longest: int, spread: int) -> st
     return f"\0{zlib.crc32(term.encode()) % spread}"
 
 
-def merge_tries(leaves: DataFrame, *, max_routes: int = MAX_ROUTES, spread: int = 1024, burst: int = BURST) -> DataFrame:
-    """(term, uses, records) from leaves of many tries."""
+def merge_tries(leaves: DataFrame, *, per_route: int = PER_ROUTE, least_routes: int = LEAST_ROUTES, burst: int = BURST) -> DataFrame:
+    """(term, uses, records) from leaves of many tries.
+
+    There is one route, and one bucket for the terms under none, per ``per_route``
+    terms of the leaves - an upper bound of what a merged trie holds on average -
+    but at least ``least_routes``.  A short string per route comes to the driver.
+    """
+    terms = leaves.agg(F.coalesce(F.sum(F.size("suffixes")), F.lit(0))).first()[0]
+    max_routes = spread = max(least_routes, -(-terms // per_route))
     heavy = leaves.where("prefix <> ''").groupBy("prefix").agg(F.sum(F.size("suffixes")).alias("n")).orderBy(F.desc("n"), "prefix").limit(max_routes).collect()
     routes = frozenset(r["prefix"] for r in heavy)
     longest = max(map(len, routes), default=0)
@@ -197,7 +205,7 @@ def term_frequencies(records: DataFrame, terms: str, **sizes: int) -> DataFrame:
     Null arrays, null and empty strings count nowhere; no records give no rows.
     """
     leaves = materialize(partial_tries(records, terms, **{k: v for k, v in sizes.items() if k in ("burst", "max_terms")}), "leaves")
-    return merge_tries(leaves, **{k: v for k, v in sizes.items() if k in ("burst", "max_routes", "spread")})
+    return merge_tries(leaves, **{k: v for k, v in sizes.items() if k in ("burst", "per_route", "least_routes")})
 
 
 def marks(records: Column, total: Column, *, rare_below: int = 3, common_above: float = 0.1) -> Column:

@@ -275,7 +275,7 @@ def test_trie_counts_and_bursts():
     assert got == collections.Counter(words) and trie.size == len(got)
 
 
-@pytest.mark.parametrize("sizes", [{}, {"burst": 3, "max_terms": 20, "max_routes": 5, "spread": 3}, {"burst": 2, "max_routes": 0}])
+@pytest.mark.parametrize("sizes", [{}, {"burst": 3, "max_terms": 20, "per_route": 100, "least_routes": 2}, {"burst": 2, "per_route": 10**9, "least_routes": 1}])
 def test_terms_against_brute_force(spark, sizes):
     rnd = random.Random(8)
     vocab = ["hot"] * 300 + ["".join(rnd.choice("abcé中") for _ in range(rnd.randrange(1, 6))) for _ in range(400)] + ["x" * 5000]

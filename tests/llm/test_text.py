@@ -160,3 +160,14 @@ def test_mix_of_nothing(spark):
     none = mixing.mix_plan(docs.limit(0), mix)
     assert none.where("short").count() == 0 and mixing.replicate(docs.limit(0), none).count() == 0
     assert mixing.mix_plan(docs, mix.limit(0)).count() == 0
+
+
+def test_an_unbroken_run_is_cut_beside():
+    prose = "word " * 300
+    run = "".join(f"x{i:x}Q" for i in range(200))
+    text = prose + run + " " + prose
+    most = TOK.count(run) + 40
+    pieces = splitting.split_text(text, TOK, max(most, 400), 40)
+    assert all(n <= max(most, 400) for *_, n, _ in pieces)
+    at = len(prose)
+    assert not any(at + 1 < new < at + len(run) for _, new, *_ in pieces)
