@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palaver.functions.text import year_of
+from palaver.sources.materialize import materialize
 
 SALTS = 32
 MAX_KINDS = 20_000
@@ -68,8 +69,7 @@ def entity_features(events: DataFrame, kinds: Sequence[str] | None = None, *, sa
     Events of a kind not listed still make their entity a row.  No events give
     no rows; other columns of ``events`` are ignored.
     """
-    kinds = kind_list(events, max_kinds=max_kinds) if kinds is None else list(kinds)
-    stats = merged_stats(events, salts=salts)
+    kinds, stats = _listed(events, kinds, salts, max_kinds)
     if len(kinds) <= NARROW:
         cell = lambda k, c: F.max(F.when(F.col("kind") == k, F.col(c)))
         zero = F.lit(0).cast("bigint")
@@ -78,13 +78,7 @@ def entity_features(events: DataFrame, kinds: Sequence[str] | None = None, *, sa
             F.array(*[F.coalesce(cell(k, "total"), zero) for k in kinds]).cast("array<bigint>").alias("total"),
             F.array(*[cell(k, "last") for k in kinds]).cast("array<bigint>").alias("last"),
         )
-    spark = events.sparkSession
-    places = spark.createDataFrame([(k, i) for i, k in enumerate(kinds)], "kind string, place int")
-    sparse = (
-        stats.join(F.broadcast(places), "kind", "left")  # at most max_kinds rows
-        .groupBy("entity_id")
-        .agg(F.collect_list(F.struct(F.coalesce("place", F.lit(-1)).alias("place"), "n", "total", F.coalesce("last", F.lit(_NONE)).alias("last"))).alias("cells"))
-    )
+    sparse = _cells(stats, kinds, F.coalesce("last", F.lit(_NONE)))
     width = len(kinds)
 
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -110,6 +104,55 @@ def entity_features(events: DataFrame, kinds: Sequence[str] | None = None, *, sa
     return sparse.mapInArrow(expand, "entity_id bigint, n array<bigint>, total array<bigint>, last array<bigint>")
 
 
+def _listed(events: DataFrame, kinds: Sequence[str] | None, salts: int, max_kinds: int) -> tuple[list[str], DataFrame]:
+    """(kinds, merged statistics); where the kinds are not given they are read off the statistics, which are written once."""
+    stats = merged_stats(events, salts=salts)
+    if kinds is not None:
+        return list(kinds), stats
+    stats = materialize(stats, "stats")
+    return kind_list(stats, max_kinds=max_kinds), stats
+
+
+def _cells(stats: DataFrame, kinds: Sequence[str], last: Column) -> DataFrame:
+    """(entity_id, cells) with one cell (place, n, total, last) per kind the entity had; place -1 for kinds not listed."""
+    places = stats.sparkSession.createDataFrame([(k, i) for i, k in enumerate(kinds)], "kind string, place int")
+    cell = F.struct(F.coalesce("place", F.lit(-1)).alias("place"), "n", "total", last.alias("last"))
+    placed = stats.join(F.broadcast(places), "kind", "left")  # at most max_kinds rows
+    return placed.groupBy("entity_id").agg(F.collect_list(cell).alias("cells"))
+
+
+def entity_lines(events: DataFrame, last: Column, kinds: Sequence[str] | None = None, *, salts: int = SALTS, max_kinds: int = MAX_KINDS) -> DataFrame:
+    """As :func:`entity_features` with the three lists as comma-separated text, for exchange as plain files.
+
+    ``last`` turns the column ``last`` of the statistics into what is shown; '-' stands where it is null.
+    """
+    kinds, stats = _listed(events, kinds, salts, max_kinds)
+    width = len(kinds)
+
+    def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for start in range(0, whole.num_rows, 256):
+                batch = whole.slice(start, 256)
+                cells = batch.column("cells")
+                ends = np.r_[0, np.cumsum(np.diff(cells.offsets.to_numpy()))]
+                flat = cells.flatten()
+                place = flat.field("place").to_pylist()
+                out = []
+                for name, none in (("n", "0"), ("total", "0"), ("last", "-")):
+                    shown = flat.field(name).cast(pa.string()).fill_null(none).to_pylist()
+                    lines = []
+                    for a, b in zip(ends[:-1], ends[1:]):
+                        line = [none] * width
+                        for at, text in zip(place[a:b], shown[a:b]):
+                            if at >= 0:
+                                line[at] = text
+                        lines.append(",".join(line))
+                    out.append(pa.array(lines, pa.string()))
+                yield pa.RecordBatch.from_arrays([batch.column("entity_id"), *out], names=["entity_id", "n", "total", "last"])
+
+    return _cells(stats, kinds, last.cast("string")).mapInArrow(expand, "entity_id bigint, n string, total string, last string")
+
+
 def pick(kinds: Sequence[str], part: str, kind: str) -> Column:
     """The cell of ``kind`` in array ``part`` of a table built with the list ``kinds``."""
     return F.col(part)[list(kinds).index(kind)]

@@ -20,33 +20,30 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MAX_RANGES = 2048
+from palaver.sources.materialize import materialize
+
+LEAST_CUTS = 2048
 ROWS_PER_RANGE = 2_000_000
 NEVER = np.iinfo(np.int64).max
 
 _OUT = "ref_field string, record_id bigint, month string, fault string"
 
 
-def range_bounds(keys: DataFrame, domains: Sequence[str], *, max_ranges: int = MAX_RANGES, rows_per_range: int = ROWS_PER_RANGE) -> dict[str, np.ndarray]:
-    """Inner bounds of the ranges of each domain, from ``keys(domain, key)``; at most ``max_ranges`` numbers a domain."""
+def range_bounds(keys: DataFrame, domains: Sequence[str], *, rows_per_range: int = ROWS_PER_RANGE) -> dict[str, np.ndarray]:
+    """Inner bounds of the ranges of each domain, from ``keys(domain, key)``: one range per ``rows_per_range`` rows, at least one a core."""
     spark = keys.sparkSession
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    at = [(i + 1) / max_ranges for i in range(max_ranges - 1)]
-    found = {
-        r["domain"]: r
-        for r in keys.groupBy("domain")
-        .agg(F.count("key").alias("n"), F.percentile_approx("key", at, 4 * max_ranges).alias("at"))
-        .collect()
-    }
+    n = {r["domain"]: r["n"] for r in keys.groupBy("domain").agg(F.count("key").alias("n")).collect()}  # one row per domain
+    parts = {d: max(least, -(-n.get(d, 0) // rows_per_range)) for d in domains}
+    cuts = max(LEAST_CUTS, *parts.values())
+    found = {r["domain"]: r["at"] for r in keys.groupBy("domain").agg(F.percentile_approx("key", [(i + 1) / cuts for i in range(cuts - 1)], 4 * cuts).alias("at")).collect()}
     bounds = {}
     for d in domains:
-        row = found.get(d)
-        if row is None or not row["n"]:
+        if not n.get(d) or parts[d] < 2:
             bounds[d] = np.empty(0, np.int64)
             continue
-        parts = int(min(max_ranges, max(least, -(-row["n"] // rows_per_range))))
-        cuts = np.sort(np.asarray(row["at"], np.int64))
-        bounds[d] = cuts[[i * max_ranges // parts - 1 for i in range(1, parts)]] if parts > 1 else np.empty(0, np.int64)
+        at = np.sort(np.asarray(found[d], np.int64))
+        bounds[d] = at[[i * cuts // parts[d] - 1 for i in range(1, parts[d])]]
     return bounds
 
 
@@ -109,7 +106,7 @@ def _probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def orphan_references(references: DataFrame, parents: DataFrame, domains: Sequence[str], *, max_ranges: int = MAX_RANGES, rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
+def orphan_references(references: DataFrame, parents: DataFrame, domains: Sequence[str], *, rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
     """(ref_field, record_id, month, fault) of every reference that leads nowhere or to a later record.
 
     ``references(domain, ref_field, record_id, key, at, month)`` are probed
@@ -118,12 +115,13 @@ def orphan_references(references: DataFrame, parents: DataFrame, domains: Sequen
     the key's first time is after the reference's.  Null references are no
     references; a null time on either side never makes a reference late.
     Repeated parents count by their first time, repeated references each.
+    Both sides are written once, for the bounds and for the probe.
     """
     refs = references.where(F.col("key").isNotNull() & F.col("domain").isin(*domains))
+    refs = materialize(refs.select("domain", "ref_field", "record_id", "key", "at", "month"), "references")
     tops = parents.where(F.col("key").isNotNull()).groupBy("domain", "key").agg(F.min("at").alias("at"))
-    bounds = range_bounds(
-        references.select("domain", "key").unionByName(parents.select("domain", "key")), domains, max_ranges=max_ranges, rows_per_range=rows_per_range
-    )
+    tops = materialize(tops, "parents")
+    bounds = range_bounds(refs.select("domain", "key").unionByName(tops.select("domain", "key")), domains, rows_per_range=rows_per_range)
     return _probe_ranges(refs, tops, bounds, domains)
 
 
@@ -156,7 +154,7 @@ def _probe_ranges(refs: DataFrame, tops: DataFrame, bounds: dict[str, np.ndarray
     )
 
 
-def report(misses: DataFrame, *, salts: int = 16) -> DataFrame:
+def report(misses: DataFrame) -> DataFrame:
     """(ref_field, month, fault) -> n; partial counts are merged map-side, so few hot groups do no harm."""
     return misses.groupBy("ref_field", "month", "fault").agg(F.count(F.lit(1)).alias("n"))
 

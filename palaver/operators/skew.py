@@ -37,7 +37,7 @@ def weighted_summary(weighted: DataFrame, keys: Sequence[str]) -> DataFrame:
     columns are fixed-width partial aggregates, combined map-side.
     """
     valued = F.col("value").isNotNull()
-    top = F.max_by("value", F.when(valued, F.struct("weight", (-F.col("value")).alias("v"))))
+    top = F.min(F.when(valued, F.struct((-F.col("weight")).alias("w"), "value")))["value"]  # values of any type that has an order
     return weighted.groupBy(*keys).agg(
         F.sum("weight").alias("n"),
         F.coalesce(F.sum(F.when(valued, F.col("weight"))), F.lit(0)).alias("n_values"),
@@ -89,3 +89,18 @@ def key_summary(rows: DataFrame, keys: Sequence[str], value: str, fractions: dic
 def heavy_keys(summary: DataFrame, total: DataFrame, share: float) -> DataFrame:
     """Keys of ``summary`` holding at least ``share`` of the one-row count ``total``; at most 1/share rows."""
     return summary.where(F.col("n") >= F.lit(share) * total.scalar())
+
+
+def split_join(many: DataFrame, one: DataFrame, key: str, *, most: int = 200_000) -> DataFrame:
+    """Inner join on ``key`` where ``many`` may hold any number of rows of a key.
+
+    The rows of a key with more than ``most`` are dealt over several tasks by
+    their hash, and the rows of ``one`` with that key are copied to each.  ``many``
+    is read twice, so it should be a written table.  Null keys join nothing.
+    """
+    heavy = many.where(F.col(key).isNotNull()).groupBy(key).agg(F.ceil(F.count(F.lit(1)) / F.lit(most)).cast("int").alias("_parts")).where("_parts > 1")
+    parts = F.coalesce("_parts", F.lit(1))
+    heavy = F.broadcast(heavy)  # at most one row per ``most`` rows of ``many``
+    dealt = many.join(heavy, key, "left").withColumn("_part", F.pmod(F.xxhash64(*many.columns), parts).cast("int")).drop("_parts")
+    copied = one.join(heavy, key, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_parts")
+    return dealt.join(copied, [key, "_part"]).drop("_part")

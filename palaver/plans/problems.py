@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palaver.functions.text import month_of
-from palaver.operators.features import entity_features, pick, utc_year
+from palaver.operators.features import entity_features, entity_lines, pick, utc_year
 from palaver.operators.orphans import micros, orphan_references, report
 from palaver.operators.skew import heavy_keys, key_summary
 from palaver.plans.registry import Registry
@@ -111,15 +111,15 @@ def all_events(spark: SparkSession, d: str) -> DataFrame:
     """
     q, a = _posts(spark, d)
     tags = F.array_distinct(F.transform(F.coalesce("tags", F.array().cast("array<string>")), lambda t: F.lower(F.trim(t))))
-    tags = F.filter(tags, lambda t: t.isNotNull() & (t != ""))
-    tagged = q.select("question_id", tags.alias("tags"))
-    asked = q.select("owner_user_id", "score", "creation_date", tags.alias("tags"))
-    answered = a.where(F.col("question_id").isNotNull()).select("question_id", "owner_user_id", "score", "creation_date").join(tagged, "question_id")
-    by_tag = asked.unionByName(answered.drop("question_id")).select(
-        F.nullif("owner_user_id", F.lit(0)).alias("entity_id"),
-        F.explode(F.transform("tags", lambda t: F.concat(F.lit("tag:"), t))).alias("kind"),
-        F.col("score").alias("value"),
-        F.col("creation_date").alias("at"),
+    named = F.transform(F.filter(tags, lambda t: t.isNotNull() & (t != "")), lambda t: F.concat(F.lit("tag:"), t))
+    q = q.withColumn("tags", named)
+    answered = a.join(q.select("question_id", "tags"), "question_id", "left")  # an answer to no question has no tags
+    none = F.array().cast("array<string>")
+    own = F.when(F.col("is_accepted") == 1, F.array(F.lit("answer"), F.lit("accepted"))).otherwise(F.array(F.lit("answer")))
+    at = [F.col("score").alias("value"), F.col("creation_date").alias("at")]
+    owner = F.nullif("owner_user_id", F.lit(0)).alias("entity_id")
+    posts = q.select(owner, F.explode(F.concat(F.array(F.lit("question")), "tags")).alias("kind"), *at).unionByName(
+        answered.select(owner, F.explode(F.concat(own, F.coalesce("tags", none))).alias("kind"), *at)
     )
     edges = table(spark, d, "interactions").select(
         F.explode(
@@ -131,7 +131,7 @@ def all_events(spark: SparkSession, d: str) -> DataFrame:
         "creation_date",
     )
     made = edges.select("e.entity_id", "e.kind", F.lit(None).cast("bigint").alias("value"), F.col("creation_date").alias("at"))
-    return post_events(spark, d).unionByName(made).unionByName(by_tag)
+    return posts.unionByName(made)
 
 
 @REGISTRY.query(
@@ -156,10 +156,8 @@ FROM us CROSS JOIN kinds LEFT JOIN st ON st.u = us.u AND st.kind = kinds.kind GR
 )
 def p1_features(spark: SparkSession, d: str) -> DataFrame:
     """One row per user: count, score total and latest year along the complete sorted list of kinds, as text lists."""
-    wide = entity_features(all_events(spark, d))
-    years = F.transform("last", lambda t: F.coalesce(utc_year(t).cast("string"), F.lit("-")))
-    text = lambda c: F.array_join(F.col(c).cast("array<string>"), ",")
-    return wide.select(F.col("entity_id").alias("user_id"), text("n").alias("counts"), text("total").alias("totals"), F.array_join(years, ",").alias("years"))
+    lines = entity_lines(all_events(spark, d), utc_year(F.col("last")))
+    return lines.select(F.col("entity_id").alias("user_id"), F.col("n").alias("counts"), F.col("total").alias("totals"), F.col("last").alias("years"))
 
 
 # --- 4: orphan references ----------------------------------------------------

@@ -7,7 +7,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from palaver.operators.features import entity_features, kind_list, utc_year
+from palaver.operators.features import entity_features, entity_lines, kind_list, utc_year
 
 SCHEMA = "entity_id bigint, kind string, value bigint, at bigint"
 
@@ -43,8 +43,15 @@ def test_a_kind_with_no_time_is_null_in_wide_lists(spark):
     assert rows(entity_features(ev))[1][2] == [None] * 40
 
 
+def test_lines(spark):
+    ev = spark.createDataFrame([(1, "a", 5, 10), (1, "b", None, None), (2, "c", -3, 7), (3, "z", 1, 1)], SCHEMA)
+    got = rows(entity_lines(ev, F.col("last") + 1, ["a", "b", "c"]))
+    assert got == {1: ("1,1,0", "5,0,0", "11,-,-"), 2: ("0,0,1", "0,0,-3", "-,-,8"), 3: ("0,0,0", "0,0,0", "-,-,-")}
+
+
 def test_empty(spark):
     ev = spark.createDataFrame([], SCHEMA)
+    assert entity_lines(ev, F.col("last")).count() == 0
     assert entity_features(ev, ["a"]).count() == 0
     assert entity_features(ev).count() == 0
 

@@ -45,9 +45,9 @@ def test_hot_keys_over_several_ranges(spark):
         elif first[d, k] > t:
             want.append((f, i, "late"))
     keys = spark.createDataFrame([(r[0], r[3]) for r in refs], "domain string, key bigint")
-    bounds = range_bounds(keys, ("d", "e"), max_ranges=64, rows_per_range=50)
+    bounds = range_bounds(keys, ("d", "e"), rows_per_range=50)
     assert (bounds["d"] == 100).sum() > 5  # a hot key owns several ranges
-    assert run(spark, refs, tops, max_ranges=64, rows_per_range=50) == sorted(want)
+    assert run(spark, refs, tops, rows_per_range=50) == sorted(want)
 
 
 def test_report_and_clashing_columns(spark):

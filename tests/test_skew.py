@@ -9,7 +9,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from palaver.operators.skew import compress, heavy_keys, key_summary
+from palaver.operators.skew import compress, heavy_keys, key_summary, split_join
 
 
 def brute(rows):
@@ -48,3 +48,16 @@ def test_heavy_keys_at_the_limit(spark):
     df = spark.createDataFrame([(1, 0)] * 2 + [(2, 0)] + [(None, 0)] * 97, "k bigint, v bigint")
     got = heavy_keys(key_summary(df, ["k"], "v"), df.agg(F.count(F.lit(1))), 0.02)
     assert [r["k"] for r in got.collect()] == [1]
+
+
+def test_mode_of_texts(spark):
+    df = spark.createDataFrame([(1, "b"), (1, "a"), (1, "b"), (1, "a"), (1, None), (2, None)], "k bigint, v string")
+    assert {r["k"]: r["mode"] for r in key_summary(df, ["k"], "v").collect()} == {1: "a", 2: None}
+
+
+def test_split_join_equals_a_join(spark):
+    many = spark.createDataFrame([(1, i) for i in range(500)] + [(2, 0), (2, 0), (3, 1), (None, 2)], "k bigint, v bigint")
+    one = spark.createDataFrame([(1, "x"), (1, "y"), (2, "z"), (4, "q"), (None, "n")], "k bigint, t string")
+    want = sorted(map(tuple, many.join(one, "k").select("k", "v", "t").collect()))
+    assert sorted(map(tuple, split_join(many, one, "k", most=40).select("k", "v", "t").collect())) == want
+    assert split_join(many.limit(0), one, "k").count() == 0
