@@ -7,11 +7,13 @@ registers, and two sets agree in a register with a probability close to their
 Jaccard similarity, so equal bands of registers make candidates.
 
 Candidates are found among *classes* of equal sets, so a group of copies of any
-size is one candidate.  A bucket of a band with many classes leaves as blocks
-that are dealt over all tasks before they are expanded.  For each candidate the
-similarity is estimated by maximum likelihood from the registers and the exact
-set sizes; those far below the threshold are dropped and the rest is checked on
-the sets themselves.
+size is one candidate.  A bucket of a band with many classes is not expanded: it
+is dealt over all tasks as pairs of blocks, whose sketches are compared there, and
+only the likely pairs leave.  For each other candidate the similarity is
+estimated by maximum likelihood from the registers and the exact set sizes; those
+far below the threshold are dropped and the rest is checked on the sets
+themselves.  Classes are named by 64 bits of a hash and confirmed by 64 more; sets
+that share a name by chance are told apart again.
 """
 
 from __future__ import annotations
@@ -27,6 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palaver.operators.components import connected_components
+from palaver.operators.skew import split_join
 from palaver.sources.materialize import materialize
 
 _WORD = re.compile("[a-z0-9]+")
@@ -39,7 +42,9 @@ class Sketch:
 
     With 5 rows and 200 bands a pair of similarity 0.5 is found with probability
     0.998, of 0.55 with 0.99997; one of 0.1 becomes a candidate with
-    probability 0.002.
+    probability 0.002.  ``compared`` registers are kept for the estimate, ``entries``
+    band keys are matched at a time, buckets of more than ``block`` classes are
+    compared as blocks, and members of a class are paired in parts of ``part``.
     """
 
     shingle: int = 3
@@ -51,6 +56,7 @@ class Sketch:
     compared: int = 96
     entries: int = 2_000_000
     block: int = 256
+    part: int = 1000
     tasks: int = 20_000
 
     @property
@@ -94,9 +100,10 @@ def shingle_sets(texts: list[str | None], size: int, memo: _Words | None = None)
     return [np.unique(gram[e - c : e - size + 1]) if c >= size else empty for e, c in zip(ends, counts)]
 
 
-def class_of(members: np.ndarray) -> int:
-    """One 64-bit number per set of shingles."""
-    return xxhash.xxh64_intdigest(members.tobytes()) - 2**63
+def class_of(members: np.ndarray) -> tuple[int, int]:
+    """(name, check): two 64-bit halves of one hash of a set of shingles."""
+    got = xxhash.xxh3_128_intdigest(members.tobytes())
+    return (got >> 64) - 2**63, (got & (2**64 - 1)) - 2**63
 
 
 def registers(sets: list[np.ndarray], how: Sketch, n: int) -> np.ndarray:
@@ -156,7 +163,8 @@ def _bucket_rows(texts: DataFrame, how: Sketch, parts: int) -> DataFrame:
                 sets = [s for s in shingle_sets(whole.column(0).slice(at, 4096).to_pylist(), how.shingle, memo) if len(s)]
                 if not sets:
                     continue
-                kinds, first = np.unique(np.array([class_of(s) for s in sets], np.int64), return_index=True)
+                names, first = np.unique(np.array([class_of(s) for s in sets], np.int64), axis=0, return_index=True)
+                kinds = names[:, 0]
                 keys = band_keys(registers([sets[i] for i in first], how, how.registers), how).ravel()
                 part = (keys % _U64(parts)).astype(np.int32)
                 order = np.argsort(part, kind="stable")  # so the classes of a part stay in order
@@ -215,22 +223,23 @@ def _match(block: int):
     return run
 
 
-def candidates(texts: DataFrame, how: Sketch, n_texts: int) -> DataFrame:
-    """Distinct (a, b), a < b, of classes that share a band; ``n_texts`` sizes the parts."""
+def buckets(texts: DataFrame, how: Sketch, n_texts: int) -> DataFrame:
+    """(a, b, cross): arrays of classes that share a band, pair by pair, or two blocks of which all pairs are meant; ``n_texts`` sizes the parts."""
     spark = texts.sparkSession
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_texts * how.bands // how.entries))
     tasks = min(parts, how.tasks)  # a task takes its parts one after the other
     packed = _bucket_rows(texts, how, parts).repartitionById(tasks, F.pmod("part", F.lit(tasks))).sortWithinPartitions("part")
-    lists = packed.mapInArrow(_match(how.block), "a array<bigint>, b array<bigint>, cross boolean")
-    dealt = lists.repartition(F.xxhash64("a", "b"))
-    all_of = F.flatten(F.transform("a", lambda x: F.transform("b", lambda y: F.struct(x.alias("a"), y.alias("b")))))
-    pairs = F.when(F.col("cross"), all_of).otherwise(F.arrays_zip("a", "b"))
-    both = dealt.select(F.explode(pairs).alias("p")).select("p.a", "p.b")
+    return packed.mapInArrow(_match(how.block), "a array<bigint>, b array<bigint>, cross boolean")
+
+
+def candidates(lists: DataFrame) -> DataFrame:
+    """Distinct (a, b), a < b, of the classes listed pair by pair."""
+    both = lists.where("not cross").select(F.explode(F.arrays_zip("a", "b")).alias("p")).select("p.a", "p.b")
     return both.where("a < b").distinct()
 
 
 def sketches(texts: DataFrame, how: Sketch) -> DataFrame:
-    """(id, class, n, regs) of each text with at least one shingle; regs are the registers to compare."""
+    """(id, class, check, n, regs) of each text with at least one shingle; regs are the registers to compare."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = _Words()
@@ -240,23 +249,33 @@ def sketches(texts: DataFrame, how: Sketch) -> DataFrame:
             if not use:
                 continue
             regs = registers([sets[i] for i in use], how, how.compared)
+            names = np.array([class_of(sets[i]) for i in use], np.int64)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0).take(pa.array(use)),
-                    pa.array([class_of(sets[i]) for i in use], pa.int64()),
+                    pa.array(names[:, 0]),
+                    pa.array(names[:, 1]),
                     pa.array([len(sets[i]) for i in use], pa.int64()),
                     pa.array([r.tobytes() for r in regs], pa.binary()),
                 ],
-                names=["id", "class", "n", "regs"],
+                names=["id", "class", "check", "n", "regs"],
             )
 
-    return texts.select("id", "text").mapInArrow(run, "id bigint, class bigint, n bigint, regs binary")
+    return texts.select("id", "text").mapInArrow(run, "id bigint, class bigint, check bigint, n bigint, regs binary")
 
 
-def _likely(pairs: DataFrame, classes: DataFrame, how: Sketch) -> DataFrame:
-    """Candidates whose estimate is not five standard errors below the threshold, with a member of each class."""
+def least_estimate(how: Sketch) -> float:
+    """Five standard errors of the estimate below the threshold."""
     t, m = how.threshold, how.compared
-    least = t - 5 * (t * (1 - t) / m) ** 0.5
+    return t - 5 * (t * (1 - t) / m) ** 0.5
+
+
+_LIKELY = "a bigint, b bigint, id_a bigint, id_b bigint"
+
+
+def _likely(pairs: DataFrame, classes: DataFrame, how: Sketch) -> DataFrame:
+    """Candidates whose estimate is not five standard errors below the threshold, with a member of each class; ``pairs`` is a written table."""
+    m, least = how.compared, least_estimate(how)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -270,11 +289,49 @@ def _likely(pairs: DataFrame, classes: DataFrame, how: Sketch) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(c).take(ok) for c in ("a", "b", "id_a", "id_b")], names=["a", "b", "id_a", "id_b"])
 
     side = lambda s: classes.select(F.col("class").alias(s), F.col("id").alias(f"id_{s}"), F.col("n").alias(f"n_{s}"), F.col("regs").alias(f"regs_{s}"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(run, "a bigint, b bigint, id_a bigint, id_b bigint")
+    return split_join(pairs, side("a"), "a").join(side("b"), "b").mapInArrow(run, _LIKELY)
+
+
+def _likely_in_blocks(lists: DataFrame, classes: DataFrame, how: Sketch) -> DataFrame:
+    """The same of all pairs of the two blocks of each row: the sketches of at most two blocks meet in one row, and only likely pairs leave it."""
+    m, least = how.compared, least_estimate(how)
+    few = int(0.6 * least * m)  # so few equal registers that no estimate passes: they count about m times the similarity
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for cells in batch.column("cells").to_pylist():
+                out = [[], [], [], []]
+                sides = [[c for c in cells if c["side"] == k] for k in (0, 1)]
+                if not sides[1]:  # a block with itself
+                    sides[1] = sides[0]
+                left, right = sides
+                x, y = (np.frombuffer(b"".join(c["regs"] for c in s), np.uint16).reshape(-1, m) for s in sides)
+                cx, cy = (np.array([c["class"] for c in s], np.int64) for s in sides)
+                nx, ny = (np.array([c["n"] for c in s], np.int64) for s in sides)
+                for i in range(len(left)):
+                    equal = (y == x[i]).sum(1)
+                    at = np.flatnonzero((equal > few) & (cx[i] != cy))
+                    if not len(at):
+                        continue
+                    above = (x[i] > y[at]).sum(1)
+                    got = estimate(above, m - equal[at] - above, equal[at], np.full(len(at), nx[i]), ny[at], how.base)
+                    for j in at[got >= least]:
+                        p, q = (left[i], right[j]) if cx[i] < cy[j] else (right[j], left[i])
+                        for to, v in zip(out, (p["class"], q["class"], p["id"], q["id"])):
+                            to.append(v)
+                if out[0]:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=["a", "b", "id_a", "id_b"])
+
+    # two blocks that several bands pair are compared once
+    wide = lists.where("cross").select("a", F.when(F.col("a") != F.col("b"), F.col("b")).otherwise(F.array().cast("array<bigint>")).alias("b")).withColumn("pair", F.xxhash64("a", "b")).dropDuplicates(["pair"])
+    member = lambda name, k: F.transform(name, lambda c: F.struct(F.lit(k).alias("side"), c.alias("class")))
+    each = materialize(wide.select("pair", F.explode(F.concat(member("a", 0), member("b", 1))).alias("c")).select("pair", "c.*"), "blocks")
+    held = split_join(each, classes, "class").groupBy("pair").agg(F.collect_list(F.struct("side", "class", "id", "n", "regs")).alias("cells"))  # two blocks at most
+    return held.select("cells").mapInArrow(run, _LIKELY).distinct()
 
 
 def _verified(likely: DataFrame, texts: DataFrame, how: Sketch) -> DataFrame:
-    """(a, b, jaccard) of the candidates that reach the threshold by their sets."""
+    """(a, b, jaccard) of the candidates that reach the threshold by their sets; ``likely`` is a written table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = _Words()
@@ -288,7 +345,7 @@ def _verified(likely: DataFrame, texts: DataFrame, how: Sketch) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column("a").take(take), batch.column("b").take(take), pa.array(common[ok] / union[ok])], names=["a", "b", "jaccard"])
 
     side = lambda s: texts.select(F.col("id").alias(f"id_{s}"), F.col("text").alias(f"text_{s}"))
-    return likely.join(side("a"), "id_a").join(side("b"), "id_b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a bigint, b bigint, jaccard double")
+    return split_join(likely, side("a"), "id_a", most=20_000).join(side("b"), "id_b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a bigint, b bigint, jaccard double")
 
 
 @dataclass(frozen=True)
@@ -307,18 +364,69 @@ def near_duplicates(docs: DataFrame, key: str, text: Column, how: Sketch = Sketc
     """
     texts = materialize(docs.select(F.col(key).alias("id"), F.lower(text).alias("text")).where(F.col("id").isNotNull()), "texts")
     drawn = materialize(sketches(texts, how), "sketches")
+    lists = materialize(buckets(texts, how, texts.count()), "buckets")
+    pairs, renamed = materialize(candidates(lists), "pairs"), None
+    twice = drawn.groupBy("class").agg(F.min("check").alias("least"), F.max("check").alias("most")).where("least <> most").select("class", "least")
+    if twice.take(1):
+        drawn, renamed = _told_apart(drawn, twice)
+        pairs = materialize(_with_renamed(pairs, renamed), "pairs")
     classes = drawn.groupBy("class").agg(F.min(F.struct("id", "n", "regs")).alias("r")).select("class", "r.*")
-    pairs = candidates(texts, how, texts.count())
-    links = materialize(_verified(_likely(pairs, classes, how), texts, how), "links")
+    likely = _likely(pairs, classes, how)
+    if lists.where("cross").take(1):
+        wide = lists.where("cross") if renamed is None else _blocks_with_renamed(lists.where("cross"), renamed)
+        likely = likely.unionByName(_likely_in_blocks(wide, classes, how)).distinct()
+    links = materialize(_verified(materialize(likely, "likely"), texts, how), "links")
     return NearDuplicates(drawn.select("id", "class"), links)
 
 
-def duplicate_pairs(found: NearDuplicates) -> DataFrame:
-    """(id_a, id_b), id_a < id_b, of all near-duplicate texts, copies expanded: as many rows as there are such pairs."""
+def _told_apart(drawn: DataFrame, twice: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(sketches with a new name for the further sets of a name, (class, new) of those)."""
+    held = drawn.join(F.broadcast(twice), "class", "left")  # names met twice: next to none of all, by the size of the hash
+    further = F.col("least").isNotNull() & (F.col("check") != F.col("least"))
+    new = F.when(further, F.xxhash64("class", "check")).otherwise(F.col("class"))
+    told = materialize(held.withColumn("new", new), "told")
+    renamed = told.where("new <> class").select("class", "new").distinct()
+    return told.withColumn("class", F.col("new")).drop("new", "least"), renamed
+
+
+def _with_renamed(pairs: DataFrame, renamed: DataFrame) -> DataFrame:
+    """``pairs`` with each name also standing for the further sets that had it, and those sets among themselves."""
+    every = lambda c: renamed.groupBy(F.col("class").alias(c)).agg(F.collect_set("new").alias(f"more_{c}"))
+    more = lambda c: F.explode(F.concat(F.array(F.col(c)), F.coalesce(f"more_{c}", F.array().cast("array<bigint>")))).alias(c)
+    wide = pairs.join(F.broadcast(every("a")), "a", "left").join(F.broadcast(every("b")), "b", "left")
+    wide = wide.select(more("a"), "b", "more_b").select("a", more("b"))
+    same = renamed.select(F.col("class").alias("a"), F.col("new").alias("b"))
+    among = renamed.alias("x").join(renamed.alias("y"), "class").select(F.col("x.new").alias("a"), F.col("y.new").alias("b"))
+    both = wide.unionByName(same).unionByName(among)
+    return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct()
+
+
+def _blocks_with_renamed(lists: DataFrame, renamed: DataFrame) -> DataFrame:
+    """Blocks in which a name also stands for the further sets that had it."""
+    names = renamed.agg(F.map_from_entries(F.collect_list(F.struct("new", "class"))).alias("m")).scalar()
+    more = lambda c: F.concat(c, F.map_keys(F.map_filter("names", lambda _, old: F.array_contains(c, old))))
+    return lists.withColumn("names", names).select(more(F.col("a")).alias("a"), more(F.col("b")).alias("b"), "cross")
+
+
+def duplicate_pairs(found: NearDuplicates, part: int = Sketch.part) -> DataFrame:
+    """(id_a, id_b), id_a < id_b, of all near-duplicate texts, copies expanded: as many rows as there are such pairs.
+
+    The members of a class are dealt over parts of about ``part``, and parts are
+    paired with parts, so no task gathers a class.
+    """
     m = found.members
-    left, right = m.select(F.col("class").alias("a"), F.col("id").alias("x")), m.select(F.col("class").alias("b"), F.col("id").alias("y"))
-    linked = found.links.select("a", "b").join(left, "a").join(right, "b").select("x", "y")
-    copies = left.join(right, F.col("a") == F.col("b")).where("x < y").select("x", "y")
+    sizes = m.groupBy("class").agg(F.ceil(F.count(F.lit(1)) / F.lit(part)).cast("int").alias("parts"))
+    dealt = materialize(m.join(sizes, "class").select("class", "parts", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"), "id"), "dealt")
+    left = dealt.select(F.col("class").alias("a"), F.col("part").alias("pa"), F.col("id").alias("x"))
+    right = dealt.select(F.col("class").alias("b"), F.col("part").alias("pb"), F.col("id").alias("y"))
+    count = lambda c: sizes.select(F.col("class").alias(c), F.col("parts").alias(f"n{c}"))
+    all_ = lambda c, name: F.explode(F.sequence(F.lit(0), F.col(f"n{c}") - 1)).alias(name)
+    links = found.links.select("a", "b").join(count("a"), "a").join(count("b"), "b")
+    paired = links.select("a", "b", "nb", all_("a", "pa")).select("a", "b", "pa", all_("b", "pb"))
+    linked = paired.join(left, ["a", "pa"]).join(right, ["b", "pb"]).select("x", "y")
+    own = sizes.select(F.col("class").alias("a"), "parts").join(m.groupBy(F.col("class").alias("a")).agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "a")
+    own = own.select("a", "parts", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("pa")).select("a", F.col("a").alias("b"), "pa", F.explode(F.sequence("pa", F.col("parts") - 1)).alias("pb"))
+    copies = own.join(left, ["a", "pa"]).join(right, ["b", "pb"]).where("pa < pb or x < y").select("x", "y")
     both = linked.unionByName(copies)
     return both.select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
 

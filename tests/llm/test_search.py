@@ -91,6 +91,41 @@ def test_hot_bucket_leaves_as_blocks():
     assert {(x, y) for a, b, _ in lists for x in a for y in b if x < y} == {(x, y) for x in who for y in who if x < y}
 
 
+def variants(rnd, n):
+    """Texts that share a template with some edits each: many pairs above and below the threshold, all in the same buckets."""
+    base = [f"w{rnd.randrange(10**6)}" for _ in range(40)]
+    return [(i, edited(rnd, " ".join(base), rnd.choice([0.03, 0.08, 0.15]))) for i in range(n)]
+
+
+def test_hot_buckets_lose_no_pair(spark):
+    rows = variants(random.Random(21), 150)
+    df = spark.createDataFrame(rows, "k bigint, t string")
+    sets = {k: shingles(t) for k, t in rows}
+    want = {(x, y) for x in sets for y in sets if x < y and jaccard(sets[x], sets[y]) >= 0.5}
+    pairs = lambda how: {(r["id_a"], r["id_b"]) for r in neardup.duplicate_pairs(neardup.near_duplicates(df, "k", F.col("t"), how), part=7).collect()}
+    narrow, wide = pairs(neardup.Sketch(block=16)), pairs(neardup.Sketch(block=10**6))
+    assert narrow == wide and narrow <= want and len(want - narrow) <= 0.002 * len(want) and len(want) > 500
+
+
+def test_copies_in_parts(spark):
+    df = spark.createDataFrame([(i, "one two three four") for i in range(40)] + [(99, "one two three four five")], "k bigint, t string")
+    got = [(r["id_a"], r["id_b"]) for r in neardup.duplicate_pairs(neardup.near_duplicates(df, "k", F.col("t")), part=6).collect()]
+    assert len(got) == len(set(got)) and set(got) == {(a, b) for a in [*range(40), 99] for b in [*range(40), 99] if a < b}
+
+
+def test_sets_with_one_name_are_told_apart(spark):
+    rows = [(1, 5, 0), (2, 5, 0), (3, 5, 9), (4, 6, 1), (5, 5, 8)]
+    drawn = spark.createDataFrame([(i, c, k, 1, b"") for i, c, k in rows], "id bigint, class bigint, check bigint, n bigint, regs binary")
+    told, renamed = neardup._told_apart(drawn, spark.createDataFrame([(5, 0)], "class bigint, least bigint"))
+    name = {r["id"]: r["class"] for r in told.collect()}
+    assert name[1] == name[2] == 5 and name[4] == 6 and len({5, name[3], name[5]}) == 3
+    pairs = neardup._with_renamed(spark.createDataFrame([(5, 6)], "a bigint, b bigint"), renamed)
+    group = {5, name[3], name[5]}
+    assert {frozenset(r) for r in pairs.collect()} == {frozenset((x, 6)) for x in group} | {frozenset((x, y)) for x in group for y in group if x != y}
+    blocks = neardup._blocks_with_renamed(spark.createDataFrame([([5, 6], [7, 8], True)], "a array<bigint>, b array<bigint>, cross boolean"), renamed).first()
+    assert set(blocks["a"]) == group | {6} and blocks["b"] == [7, 8]
+
+
 def test_near_duplicates_of_nothing(spark):
     found = neardup.near_duplicates(spark.createDataFrame([], "k bigint, t string"), "k", F.col("t"))
     assert neardup.duplicate_pairs(found).count() == 0 and neardup.duplicate_groups(found).count() == 0
