@@ -21,6 +21,14 @@ class GraphConfig:
     pagerank_alpha: float = 0.85
     pagerank_max_iter: int = 200
     pagerank_tol: float = 1e-9
+    hits_max_iter: int = 500
+    hits_tol: float = 1e-10
+    eigenvector_max_iter: int = 1000
+    eigenvector_tol: float = 1e-10
+    katz_max_iter: int = 1000
+    katz_tol: float = 1e-10
+    one_task: int = 2_000_000  # edges up to which the short steps of an iteration run in one task
+    expensive_max_edges: int = 20_000_000
     katz_alpha: float = 0.005
     katz_beta: float = 1.0
     betweenness_sample: int = 500

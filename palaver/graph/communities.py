@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from palaver.config import GraphConfig
 from palaver.graph.build import undirected
-from palaver.sources.materialize import materialize
+from palaver.sources.materialize import free, materialize
 
 CONFIG = GraphConfig()
 MAX_ROUNDS = 400
@@ -57,7 +57,9 @@ def _rounds(links: DataFrame, m2: float, resolution: float, level: int, max_roun
     # both ends of every edge, so a loop counts twice in its node's degree
     state = links.select(F.explode(F.array("a", "b")).alias("id"), "weight").groupBy("id").agg(F.sum("weight").alias("degree")).withColumn("community", F.col("id"))
     for turn in range(max_rounds):
-        state = materialize(_move(links, state, m2, resolution, level * max_rounds + turn), "louvain")
+        after = materialize(_move(links, state, m2, resolution, level * max_rounds + turn), "louvain")
+        free(state)
+        state = after
         if not state.where("gains").take(1):  # so none has moved in this round either
             return state
     raise RuntimeError(f"communities did not settle in {max_rounds} rounds of level {level}")

@@ -3,7 +3,8 @@
 These need the whole adjacency beside every source.  As in the usual practice
 they run on a graph of a bounded number of nodes - the whole graph up to
 ``expensive_max_nodes``, beyond that the subgraph of the top ``expensive_top_n``
-by PageRank - so what is broadcast has that bound.  Sources are spread over all
+by PageRank - and of a bounded number of edges, so what is broadcast is at most
+240 MB; more edges raise.  Sources are spread over all
 tasks, partial scores are merged by aggregation.
 """
 
@@ -29,9 +30,12 @@ def bounded(edges: DataFrame, ranks: DataFrame, cfg: GraphConfig = CONFIG) -> Da
     return induced(edges, ranks.orderBy(F.desc("rank"), "id").limit(cfg.expensive_top_n))
 
 
-def _adjacency(edges: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _adjacency(edges: DataFrame, cfg: GraphConfig = CONFIG) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(ids, offsets, targets) of the bounded graph in compressed rows."""
-    e = edges.select("src", "dst").distinct().toPandas()
+    pairs = edges.select("src", "dst").distinct()
+    if (n := pairs.count()) > cfg.expensive_max_edges:
+        raise ValueError(f"{n} edges are more than the {cfg.expensive_max_edges} that path scores take")
+    e = pairs.toPandas()
     ids = np.unique(np.r_[e["src"].to_numpy(np.int64), e["dst"].to_numpy(np.int64)])
     s, t = np.searchsorted(ids, e["src"]), np.searchsorted(ids, e["dst"])
     order = np.argsort(s, kind="stable")
@@ -87,14 +91,14 @@ def distances(edges: DataFrame) -> DataFrame:
 def betweenness(edges: DataFrame, cfg: GraphConfig = CONFIG) -> DataFrame:
     """(id, score): Brandes betweenness, unweighted and normalised; with more nodes than ``betweenness_sample``, from that many sources, by hash."""
     spark = edges.sparkSession
-    ids, offsets, targets = _adjacency(edges)
+    ids, offsets, targets = _adjacency(edges, cfg)
     n = len(ids)
     if n < 3:
         return nodes(edges).select("id", F.lit(0.0).alias("score"))
     shared = spark.sparkContext.broadcast((offsets, targets))
     everyone = spark.createDataFrame(pd.DataFrame({"at": np.arange(n), "id": ids}))
     k = min(n, cfg.betweenness_sample)
-    sources = everyone.orderBy(F.xxhash64("id")).limit(k).repartition(spark.sparkContext.defaultParallelism)
+    sources = everyone.orderBy(F.md5(F.col("id").cast("string"))).limit(k).repartition(spark.sparkContext.defaultParallelism)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         offsets, targets = shared.value

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palaver.sources.materialize import materialize
+from palaver.sources.materialize import free, materialize
 
 MAX_ROUNDS = 60
 
@@ -39,7 +39,9 @@ def connected_components(edges: DataFrame, *, max_rounds: int = MAX_ROUNDS) -> D
     now = materialize(known.where("src <> dst").distinct(), "components")
     state = None
     for _ in range(max_rounds):
-        now = materialize(_small_star(_large_star(now)), "components")
+        after = materialize(_small_star(_large_star(now)), "components")
+        free(now)
+        now = after
         seen = now.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.xxhash64("src", "dst").cast("decimal(38,0)")), F.lit(0)).alias("h")).first()
         if state == seen:
             break

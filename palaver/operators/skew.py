@@ -46,12 +46,8 @@ def weighted_summary(weighted: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
-def weighted_percentiles(weighted: DataFrame, keys: Sequence[str], fractions: dict[str, float]) -> DataFrame:
-    """Exact nearest-rank percentiles per key: the smallest value whose cumulated weight reaches fraction * total.
-
-    ``fractions`` maps result columns to fractions in (0, 1].  Keys without
-    values have no row.  No window ever gathers all values of one key.
-    """
+def cumulated(weighted: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, value, weight, upto, total): the weight of a key's values up to each, and of all.  No task gathers a key."""
     keys = list(keys)
     ranged = (
         weighted.where(F.col("value").isNotNull())
@@ -70,7 +66,16 @@ def weighted_percentiles(weighted: DataFrame, keys: Sequence[str], fractions: di
     )
     upto = Window.partitionBy(*keys, "part").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
     ranks = ranged.join(offsets, [*keys, "part"]).withColumn("upto", F.col("offset") + F.sum("weight").over(upto))
-    return ranks.groupBy(*keys).agg(
+    return ranks.select(*keys, "value", "weight", "upto", "total")
+
+
+def weighted_percentiles(weighted: DataFrame, keys: Sequence[str], fractions: dict[str, float]) -> DataFrame:
+    """Exact nearest-rank percentiles per key: the smallest value whose cumulated weight reaches fraction * total.
+
+    ``fractions`` maps result columns to fractions in (0, 1].  Keys without
+    values have no row.
+    """
+    return cumulated(weighted, keys).groupBy(*keys).agg(
         *[F.min(F.when(F.col("upto") >= F.ceil(F.lit(p) * F.col("total")), F.col("value"))).alias(name) for name, p in fractions.items()]
     )
 

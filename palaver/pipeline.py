@@ -34,9 +34,9 @@ def centralities(edges: DataFrame, ranks: DataFrame, cfg: GraphConfig = GraphCon
         "pagerank": lambda: ranks.select("id", F.col("rank").alias("score")),
         "in_degree": lambda: once("degrees", lambda: spectral.degrees(edges)).select("id", F.col("in_degree").cast("double").alias("score")),
         "out_degree": lambda: once("degrees", lambda: spectral.degrees(edges)).select("id", F.col("out_degree").cast("double").alias("score")),
-        "hits_authority": lambda: once("hits", lambda: spectral.hits(edges)).select("id", F.col("authority").alias("score")),
-        "hits_hub": lambda: once("hits", lambda: spectral.hits(edges)).select("id", F.col("hub").alias("score")),
-        "eigenvector": lambda: spectral.eigenvector(edges),
+        "hits_authority": lambda: once("hits", lambda: spectral.hits(edges, cfg=cfg)).select("id", F.col("authority").alias("score")),
+        "hits_hub": lambda: once("hits", lambda: spectral.hits(edges, cfg=cfg)).select("id", F.col("hub").alias("score")),
+        "eigenvector": lambda: spectral.eigenvector(edges, cfg=cfg),
         "katz": lambda: spectral.katz(edges, cfg=cfg),
         "closeness": lambda: once("distances", lambda: paths.distances(near())).select("id", F.col("closeness").alias("score")),
         "harmonic": lambda: once("distances", lambda: paths.distances(near())).select("id", F.col("harmonic").alias("score")),
@@ -51,7 +51,7 @@ def centralities(edges: DataFrame, ranks: DataFrame, cfg: GraphConfig = GraphCon
             part = minmax(materialize(makers[m](), m), "score").select("id", F.lit(m).alias("method"), "score")
             out = out.unionByName(part)
         except Exception as e:  # one method that fails leaves the others
-            notes[m] = f"failed: {type(e).__name__}"
+            notes[m] = f"failed: {type(e).__name__}: {e}"[:200]
     return out, notes
 
 

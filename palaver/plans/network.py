@@ -1,9 +1,10 @@
-"""Queries of the graph operators.  Iterative ones run a fixed number of steps, unrolled in the SQL."""
+"""Queries of the graph operators.  Iterative ones run until they settle; their SQL recurs for so many steps that nothing changes any more at the digits shown."""
 
 from __future__ import annotations
 
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.stat import Correlation
+from dataclasses import replace
+from itertools import combinations_with_replacement
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,38 +13,42 @@ from palaver.functions.rank import minmax, position_percentile, spearman
 from palaver.graph import authority, communities, paths, spectral
 from palaver.graph.build import undirected
 from palaver.operators.components import connected_components
+from palaver.operators.skew import compress, cumulated
 from palaver.plans.registry import Registry
 from palaver.plans.relational import _STATS, edges, stats, year_edges
-from palaver.plans.sqltext import EDGES, NODES, U, YEAR_EDGES, pagerank, yearly_pagerank
+from palaver.pipeline import PATHS as PATH_METHODS
+from palaver.pipeline import SPECTRAL, centralities
+from palaver.plans.sqltext import EDGES, NODES, PATHS, U, YEAR_EDGES, pagerank, yearly_pagerank
+from palaver.plans.sqltext import eigenvector as eigenvector_sql
+from palaver.plans.sqltext import hits as hits_sql
+from palaver.plans.sqltext import katz as katz_sql
 from palaver.sources.materialize import materialize
 from palaver.sources.tables import first, table
 
 REGISTRY = Registry()
-STEPS = 8
-SPECTRAL_STEPS = 6
-CFG = GraphConfig()
+CFG = replace(GraphConfig(), pagerank_tol=1e-15, hits_tol=1e-12, eigenvector_tol=1e-12, katz_tol=1e-12)  # tighter than six digits need
 
 
 def ranks(spark: SparkSession, d: str) -> DataFrame:
-    """(id, rank) after STEPS steps on the whole graph."""
-    return spectral.pagerank(edges(spark, d), steps=STEPS)
+    """(id, rank) on the whole graph."""
+    return spectral.pagerank(materialize(edges(spark, d), "edges"), cfg=CFG)
 
 
-@REGISTRY.query("pagerank_full", f"WITH {EDGES}, {NODES}, {pagerank(STEPS)} SELECT id, round(rank * c, 6) AS relative_rank FROM pr")
+@REGISTRY.query("pagerank_full", f"WITH RECURSIVE {EDGES}, {NODES}, {pagerank()} SELECT id, round(rank * c, 6) AS relative_rank FROM pr")
 def pagerank_full(spark: SparkSession, d: str) -> DataFrame:
     """PageRank times the number of nodes."""
     r = materialize(ranks(spark, d), "ranks")
     return r.select("id", F.round(F.col("rank") * r.agg(F.count(F.lit(1))).scalar(), 6).alias("relative_rank"))
 
 
-@REGISTRY.query("pagerank_yearly", f"""WITH {YEAR_EDGES}, {yearly_pagerank(STEPS)}, k AS (SELECT year, count(*) < 200 AS low FROM e GROUP BY 1),
+@REGISTRY.query("pagerank_yearly", f"""WITH RECURSIVE {YEAR_EDGES}, {yearly_pagerank()}, k AS (SELECT year, count(*) < 200 AS low FROM e GROUP BY 1),
  x AS (SELECT year, id, round(rank * c, 6) AS relative_rank FROM pr)
 SELECT year, id, relative_rank, round(CASE WHEN n = 1 THEN 1.0 ELSE (rn - 1) / (n - 1) END, 6) AS percentile, low AS low_data FROM
  (SELECT *, row_number() OVER (PARTITION BY year ORDER BY relative_rank, id) AS rn, count(*) OVER (PARTITION BY year) AS n FROM x) JOIN k USING (year)""")
 def pagerank_yearly(spark: SparkSession, d: str) -> DataFrame:
     """All years in one loop, with percentile and a flag for years of few edges."""
     e = materialize(year_edges(spark, d), "year_edges")
-    r = materialize(spectral.pagerank(e, by=["year"], steps=STEPS), "ranks")
+    r = materialize(spectral.pagerank(e, by=["year"], cfg=CFG), "ranks")
     n = r.groupBy("year").agg(F.count(F.lit(1)).alias("c"))
     low = e.groupBy("year").agg((F.count(F.lit(1)) < CFG.min_edges_per_year).alias("low_data"))
     x = r.join(n, "year").join(low, "year").select("year", "id", F.round(F.col("rank") * F.col("c"), 6).alias("relative_rank"), "low_data")
@@ -56,41 +61,23 @@ def degrees(spark: SparkSession, d: str) -> DataFrame:
     return spectral.degrees(edges(spark, d))
 
 
-def _loops(kind: str) -> str:
-    """CTEs x0 .. of an unrolled power iteration; the last is ``v(id, score)``."""
-    out = [f"x0 AS MATERIALIZED (SELECT id, {'0.0' if kind == 'katz' else '1.0'}::DOUBLE AS s FROM n)"]
-    for i in range(1, SPECTRAL_STEPS + 1):
-        flow = f"(SELECT dst AS id, sum(s * weight) AS f FROM e JOIN x{i - 1} ON src = id GROUP BY 1) y"
-        new = "0.005 * coalesce(f, 0) + 1.0" if kind == "katz" else "s + coalesce(f, 0)"
-        out.append(f"x{i} AS MATERIALIZED (SELECT x.id, {new} AS s FROM x{i - 1} x LEFT JOIN {flow} ON y.id = x.id)")
-    return ", ".join(out) + f", v AS (SELECT id, s AS score FROM x{SPECTRAL_STEPS})"
-
-
 def _scaled(column: str) -> str:
     return f"round(coalesce(({column} - min({column}) OVER ()) / nullif(max({column}) OVER () - min({column}) OVER (), 0), 0), 6) AS {column}"
 
 
-@REGISTRY.query("eigenvector", f"WITH {EDGES}, {NODES}, {_loops('eigen')} SELECT id, {_scaled('score')} FROM v")
+@REGISTRY.query("eigenvector", f"WITH RECURSIVE {EDGES}, {NODES}, {eigenvector_sql()} SELECT id, {_scaled('score')} FROM eig")
 def eigenvector(spark: SparkSession, d: str) -> DataFrame:
-    return minmax(spectral.eigenvector(edges(spark, d), SPECTRAL_STEPS), "score").select("id", F.round("score", 6).alias("score"))
+    return minmax(spectral.eigenvector(materialize(edges(spark, d), "edges"), cfg=CFG), "score").select("id", F.round("score", 6).alias("score"))
 
 
-@REGISTRY.query("katz", f"WITH {EDGES}, {NODES}, {_loops('katz')} SELECT id, {_scaled('score')} FROM v")
+@REGISTRY.query("katz", f"WITH RECURSIVE {EDGES}, {NODES}, {katz_sql()} SELECT id, {_scaled('score')} FROM kz")
 def katz(spark: SparkSession, d: str) -> DataFrame:
-    return minmax(spectral.katz(edges(spark, d), SPECTRAL_STEPS), "score").select("id", F.round("score", 6).alias("score"))
-
+    return minmax(spectral.katz(materialize(edges(spark, d), "edges"), cfg=CFG), "score").select("id", F.round("score", 6).alias("score"))
 
-def _hits_sql() -> str:
-    out = ["h0 AS (SELECT id, 1.0::DOUBLE AS a, 1.0::DOUBLE AS h FROM n)"]
-    for i in range(1, SPECTRAL_STEPS + 1):
-        out.append(f"a{i} AS MATERIALIZED (SELECT n.id, coalesce(f, 0) AS a FROM n LEFT JOIN (SELECT dst, sum(h * weight) AS f FROM e JOIN h{i - 1} ON src = id GROUP BY 1) ON dst = n.id)")
-        out.append(f"h{i} AS MATERIALIZED (SELECT x.id, x.a, coalesce(f, 0) AS h FROM a{i} x LEFT JOIN (SELECT src, sum(a * weight) AS f FROM e JOIN a{i} ON dst = id GROUP BY 1) ON src = x.id)")
-    return ", ".join(out) + f", v AS (SELECT id, a AS authority, h AS hub FROM h{SPECTRAL_STEPS})"
 
-
-@REGISTRY.query("hits", f"WITH {EDGES}, {NODES}, {_hits_sql()} SELECT id, {_scaled('authority')}, {_scaled('hub')} FROM v")
+@REGISTRY.query("hits", f"WITH RECURSIVE {EDGES}, {NODES}, {hits_sql()} SELECT id, {_scaled('authority')}, {_scaled('hub')} FROM ht")
 def hits(spark: SparkSession, d: str) -> DataFrame:
-    v = spectral.hits(edges(spark, d), SPECTRAL_STEPS)
+    v = spectral.hits(materialize(edges(spark, d), "edges"), cfg=CFG)
     return minmax(minmax(v, "authority"), "hub").select("id", F.round("authority", 6).alias("authority"), F.round("hub", 6).alias("hub"))
 
 
@@ -102,16 +89,16 @@ def components(spark: SparkSession, d: str) -> DataFrame:
 
 def _path_edges(spark: SparkSession, d: str) -> DataFrame:
     e = materialize(edges(spark, d), "edges")
-    return paths.bounded(e, spectral.pagerank(e, steps=STEPS))
+    return paths.bounded(e, spectral.pagerank(e, cfg=CFG))
 
 
-@REGISTRY.query("closeness_harmonic")
+@REGISTRY.query("closeness_harmonic", f"WITH RECURSIVE {EDGES}, {NODES}, {PATHS} SELECT id, round(closeness, 6) AS closeness, round(harmonic, 6) AS harmonic FROM cl")
 def closeness_harmonic(spark: SparkSession, d: str) -> DataFrame:
     """Closeness and harmonic centrality; beyond 20,000 nodes of the top 5,000 by PageRank, as the feature defines it."""
     return paths.distances(_path_edges(spark, d)).select("id", F.round("closeness", 6).alias("closeness"), F.round("harmonic", 6).alias("harmonic"))
 
 
-@REGISTRY.query("betweenness")
+@REGISTRY.query("betweenness", f"WITH RECURSIVE {EDGES}, {NODES}, {PATHS} SELECT id, {_scaled('score')} FROM bt")
 def betweenness(spark: SparkSession, d: str) -> DataFrame:
     """Betweenness from 500 sampled sources, min-max scaled: a sampling operator."""
     return minmax(paths.betweenness(_path_edges(spark, d)), "score").select("id", F.round("score", 6).alias("score"))
@@ -149,7 +136,7 @@ def spearman_topn(spark: SparkSession, d: str) -> DataFrame:
     return spearman(top.where("reputation IS NOT NULL"), "comp_pagerank", "reputation").select(F.round("rho", 6).alias("rho"), "n")
 
 
-@REGISTRY.query("authority_synthesis", f"""WITH {EDGES}, {NODES}, {pagerank(STEPS)}, {U}, {_STATS[_STATS.index("ev AS"):]},
+@REGISTRY.query("authority_synthesis", f"""WITH RECURSIVE {EDGES}, {NODES}, {pagerank()}, {U}, {_STATS[_STATS.index("ev AS"):]},
  pn AS (SELECT id, (rank - min(rank) OVER ()) / nullif(max(rank) OVER () - min(rank) OVER (), 0) AS p FROM pr),
  rn AS (SELECT user_id AS id, coalesce((reputation - min(reputation) OVER ()) / nullif(max(reputation) OVER () - min(reputation) OVER (), 0), 0) AS r FROM u WHERE reputation IS NOT NULL),
  ac AS (SELECT user_id AS id, accepted_answer_count / answer_count AS v FROM st WHERE answer_count > 0), an AS (SELECT id, coalesce((v - min(v) OVER ()) / nullif(max(v) OVER () - min(v) OVER (), 0), 0) AS acc FROM ac),
@@ -171,39 +158,70 @@ def _synthesis(spark: SparkSession, d: str) -> DataFrame:
     return authority.synthesize(pr, rep, acc)
 
 
-METHODS = ["pagerank", "in_degree", "out_degree", "hits_authority", "hits_hub", "eigenvector", "katz"]
+METHODS = ["pagerank", *SPECTRAL, *PATH_METHODS]
+_SCALED = {
+    "pagerank": "SELECT id, rank AS x FROM pr", "in_degree": "SELECT n.id, coalesce((SELECT sum(weight) FROM e WHERE dst = n.id), 0) AS x FROM n",
+    "out_degree": "SELECT n.id, coalesce((SELECT sum(weight) FROM e WHERE src = n.id), 0) AS x FROM n", "hits_authority": "SELECT id, authority AS x FROM ht", "hits_hub": "SELECT id, hub AS x FROM ht",
+    "eigenvector": "SELECT id, score AS x FROM eig", "katz": "SELECT id, score AS x FROM kz", "closeness": "SELECT id, closeness AS x FROM cl", "harmonic": "SELECT id, harmonic AS x FROM cl", "betweenness": "SELECT id, score AS x FROM bt",
+}
+_ALL = f"""{EDGES}, {NODES}, {pagerank()}, {hits_sql()}, {eigenvector_sql()}, {katz_sql()}, {PATHS},
+  sc AS MATERIALIZED (SELECT m, id, round(coalesce((x - min(x) OVER (PARTITION BY m)) / nullif(max(x) OVER (PARTITION BY m) - min(x) OVER (PARTITION BY m), 0), 0), 6) AS x FROM ({" UNION ALL ".join(f"SELECT '{m}' AS m, * FROM ({q})" for m, q in _SCALED.items())}))"""
 
 
 def _centralities(spark: SparkSession, d: str) -> DataFrame:
-    """(id, method, score): every whole-graph method, min-max scaled; one that fails leaves no rows."""
+    """(id, method, score): all ten methods, min-max scaled, at six digits; one that fails raises here."""
     e = materialize(edges(spark, d), "edges")
-    deg, ht = spectral.degrees(e), spectral.hits(e, SPECTRAL_STEPS)
-    one = {
-        "pagerank": spectral.pagerank(e, steps=STEPS).select("id", F.col("rank").alias("score")),
-        "in_degree": deg.select("id", F.col("in_degree").cast("double").alias("score")),
-        "out_degree": deg.select("id", F.col("out_degree").cast("double").alias("score")),
-        "hits_authority": ht.select("id", F.col("authority").alias("score")),
-        "hits_hub": ht.select("id", F.col("hub").alias("score")),
-        "eigenvector": spectral.eigenvector(e, SPECTRAL_STEPS),
-        "katz": spectral.katz(e, SPECTRAL_STEPS),
-    }
-    long = None
-    for m, df in one.items():
-        part = minmax(df.select("id", "score"), "score").select("id", F.lit(m).alias("method"), "score")
-        long = part if long is None else long.unionByName(part)
-    return materialize(long, "centralities")
+    scores, notes = centralities(e, materialize(spectral.pagerank(e, cfg=CFG), "ranks"), CFG, tuple(METHODS))
+    if notes:
+        raise RuntimeError(str(notes))
+    return materialize(scores.withColumn("score", F.round("score", 6)), "centralities")
+
+
+@REGISTRY.query("centralities_long", f"WITH RECURSIVE {_ALL} SELECT id, m AS method, x AS score FROM sc")
+def centralities_long(spark: SparkSession, d: str) -> DataFrame:
+    """Every centrality of every node of the graph."""
+    return _centralities(spark, d)
 
 
 @REGISTRY.query("authority_wide_table")
 def authority_wide_table(spark: SparkSession, d: str) -> DataFrame:
-    """Statistics, score, community and the seven centralities of METHODS of every user; rows only, its parts have their own SQL."""
+    """Statistics, score, community and the ten centralities of every user; rows only, for its communities have no SQL: `authority_wide_scores` has the rest."""
     groups = communities.louvain(edges(spark, d))
     return authority.wide_table(first(spark, d, "users", "display_name", "reputation"), stats(spark, d), _synthesis(spark, d), groups, _centralities(spark, d), METHODS)
 
 
-@REGISTRY.query("centrality_correlation")
+_WIDE = ("question_count", "answer_count", "accepted_answer_count", "total_question_score", "total_answer_score")
+
+
+@REGISTRY.query("authority_wide_scores", f"""WITH RECURSIVE {_ALL}, {U}, {_STATS[_STATS.index("ev AS"):]},
+  ids AS (SELECT user_id FROM st UNION SELECT id FROM n), pv AS (SELECT id, {", ".join(f"max(CASE WHEN m = '{m}' THEN x END) AS cent_{m}" for m in METHODS)} FROM sc GROUP BY 1)
+SELECT user_id, display_name, reputation, {", ".join(f"coalesce({c}, 0) AS {c}" for c in _WIDE)}, first_activity_year, last_activity_year, {", ".join(f"coalesce(cent_{m}, 0.0) AS cent_{m}" for m in METHODS)}
+FROM ids LEFT JOIN u USING (user_id) LEFT JOIN st USING (user_id) LEFT JOIN pv ON pv.id = user_id""")
+def authority_wide_scores(spark: SparkSession, d: str) -> DataFrame:
+    """The wide table without communities and joined score: profile, activity and all ten centralities."""
+    none = table(spark, d, "users").select(F.col("user_id").alias("id"), F.lit(0).cast("bigint").alias("community")).limit(0)
+    score = first(spark, d, "users").select("user_id").limit(0)
+    cent = _centralities(spark, d)
+    score = cent.select(F.col("id").alias("user_id")).distinct().unionByName(score)
+    wide = authority.wide_table(first(spark, d, "users", "display_name", "reputation"), stats(spark, d), score, none, cent, METHODS)
+    return wide.select("user_id", "display_name", "reputation", *_WIDE, "first_activity_year", "last_activity_year", *[f"cent_{m}" for m in METHODS])
+
+
+_MATRIX = "rk AS (SELECT m, id, rank() OVER (PARTITION BY m ORDER BY x) + (count(*) OVER (PARTITION BY m, x) - 1) / 2 AS r FROM sc)"
+
+
+@REGISTRY.query("centrality_correlation", f"WITH RECURSIVE {_ALL}, {_MATRIX} SELECT x.m AS a, y.m AS b, round(corr(x.r, y.r), 6) AS rho FROM rk x JOIN rk y USING (id) GROUP BY 1, 2")
 def centrality_correlation(spark: SparkSession, d: str) -> DataFrame:
-    """Spearman matrix of the centralities, one row per pair."""
-    wide = _centralities(spark, d).groupBy("id").pivot("method", METHODS).agg(F.first("score")).na.fill(0.0)
-    m = Correlation.corr(VectorAssembler(inputCols=METHODS, outputCol="v").transform(wide), "v", "spearman").first()[0].toArray()  # methods x methods
-    return spark.createDataFrame([(a, b, round(float(m[i, j]), 6)) for i, a in enumerate(METHODS) for j, b in enumerate(METHODS)], "a string, b string, rho double")
+    """Spearman matrix of the ten centralities, one row per pair.
+
+    Average ranks come from the weighted distinct values of a method by a running
+    sum that continues over tasks.
+    """
+    long = _centralities(spark, d)
+    ranks_ = cumulated(compress(long, ["method"], "score"), ["method"])
+    ranks_ = ranks_.select("method", F.col("value").alias("score"), (F.col("upto") - (F.col("weight") - 1) / 2).alias("r"))
+    wide = long.join(ranks_, ["method", "score"]).groupBy("id").pivot("method", METHODS).agg(F.first("r"))
+    pairs = list(combinations_with_replacement(METHODS, 2))
+    row = wide.agg(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.round(F.corr(a, b), 6).alias("rho")) for a, b in pairs]).alias("p"))
+    each = row.select(F.explode("p").alias("p")).select("p.*")
+    return each.unionByName(each.where("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"), "rho"))

@@ -22,38 +22,67 @@ def month(epoch: str) -> str:
 JUDGED = f"""j AS (SELECT q.owner_user_id AS asker, a.owner_user_id AS answerer, {year("a.creation_date")} AS year FROM a LEFT JOIN q USING (question_id)),
   jj AS (SELECT *, CASE WHEN asker IS NULL OR answerer IS NULL THEN 'missing' WHEN asker = 0 OR answerer = 0 THEN 'excluded' WHEN asker = answerer THEN 'self'
                         WHEN year IS NULL OR year NOT BETWEEN 2021 AND 2026 THEN 'year' ELSE 'kept' END AS reason FROM j)"""
-EDGES = f"{Q}, {A}, {JUDGED}, e AS (SELECT asker AS src, answerer AS dst, count(*) AS weight FROM jj WHERE reason = 'kept' GROUP BY 1, 2)"
-YEAR_EDGES = f"{Q}, {A}, {JUDGED}, e AS (SELECT year, asker AS src, answerer AS dst, count(*) AS weight FROM jj WHERE reason = 'kept' GROUP BY 1, 2, 3)"
-NODES = "n AS (SELECT src AS id FROM e UNION SELECT dst FROM e)"
-
-
-def pagerank(steps: int, alpha: float = 0.85) -> str:
-    """CTEs after EDGES and NODES; the last is ``pr(id, rank, c)``."""
-    out = ["o AS (SELECT src, sum(weight) AS s FROM e GROUP BY 1)", "cnt AS (SELECT count(*) AS c FROM n)", "r0 AS MATERIALIZED (SELECT id, 1.0 / c AS rank FROM n, cnt)"]
-    for i in range(1, steps + 1):
-        out.append(
-            f"r{i} AS MATERIALIZED (SELECT n.id, {alpha} * (coalesce(f, 0) + l / c) + {1 - alpha} / c AS rank FROM n CROSS JOIN cnt"
-            f" CROSS JOIN (SELECT coalesce(sum(rank), 0) AS l FROM r{i - 1} WHERE id NOT IN (SELECT src FROM o)) LEFT JOIN"
-            f" (SELECT e.dst, sum(r.rank * e.weight / o.s) AS f FROM e JOIN o ON e.src = o.src JOIN r{i - 1} r ON r.id = e.src GROUP BY 1) x ON x.dst = n.id)"
-        )
-    return ", ".join(out) + f", pr AS (SELECT id, rank, c FROM r{steps}, cnt)"
-
-
-def yearly_pagerank(steps: int, alpha: float = 0.85) -> str:
-    """CTEs after YEAR_EDGES; the last is ``pr(year, id, rank, c)``."""
-    out = [
-        "n AS (SELECT year, src AS id FROM e UNION SELECT year, dst FROM e)",
-        "o AS (SELECT year, src, sum(weight) AS s FROM e GROUP BY 1, 2)",
-        "cnt AS (SELECT year, count(*) AS c FROM n GROUP BY 1)",
-        "r0 AS MATERIALIZED (SELECT year, id, 1.0 / c AS rank FROM n JOIN cnt USING (year))",
-    ]
-    for i in range(1, steps + 1):
-        out.append(
-            f"r{i} AS MATERIALIZED (SELECT n.year, n.id, {alpha} * (coalesce(f, 0) + coalesce(l, 0) / c) + {1 - alpha} / c AS rank FROM n JOIN cnt ON cnt.year = n.year"
-            f" LEFT JOIN (SELECT r.year, sum(r.rank) AS l FROM r{i - 1} r LEFT JOIN o ON o.year = r.year AND o.src = r.id WHERE o.src IS NULL GROUP BY 1) d ON d.year = n.year LEFT JOIN"
-            f" (SELECT e.year, e.dst, sum(r.rank * e.weight / o.s) AS f FROM e JOIN o ON e.src = o.src AND e.year = o.year JOIN r{i - 1} r ON r.id = e.src AND r.year = e.year GROUP BY 1, 2) x ON x.dst = n.id AND x.year = n.year)"
-        )
-    return ", ".join(out) + f", pr AS (SELECT year, id, rank, c FROM r{steps} JOIN cnt USING (year))"
+EDGES = f"{Q}, {A}, {JUDGED}, e AS MATERIALIZED (SELECT asker AS src, answerer AS dst, count(*) AS weight FROM jj WHERE reason = 'kept' GROUP BY 1, 2)"
+YEAR_EDGES = f"{Q}, {A}, {JUDGED}, e AS MATERIALIZED (SELECT year, asker AS src, answerer AS dst, count(*) AS weight FROM jj WHERE reason = 'kept' GROUP BY 1, 2, 3)"
+NODES = "n AS MATERIALIZED (SELECT src AS id FROM e UNION SELECT dst FROM e)"
+
+
+def pagerank(steps: int = 120, alpha: float = 0.85) -> str:
+    """CTEs after EDGES and NODES in a WITH RECURSIVE; the last is ``pr(id, rank, c)`` after so many steps that nothing changes any more."""
+    return f"""o AS MATERIALIZED (SELECT src, sum(weight) AS s FROM e GROUP BY 1), cnt AS MATERIALIZED (SELECT count(*) AS c FROM n),
+  pl(step, id, rank) AS (SELECT 0, id, 1.0 / c FROM n, cnt UNION ALL
+    SELECT step + 1, pl.id, {alpha} * (coalesce(f, 0) + l / c) + {1 - alpha} / c FROM pl CROSS JOIN cnt
+      CROSS JOIN (SELECT coalesce(sum(z.rank), 0) AS l FROM pl z LEFT JOIN o ON o.src = z.id WHERE o.src IS NULL) d
+      LEFT JOIN (SELECT e.dst, sum(r.rank * e.weight / o.s) AS f FROM e JOIN o ON e.src = o.src JOIN pl r ON r.id = e.src GROUP BY 1) x ON x.dst = pl.id WHERE step < {steps}),
+  pr AS MATERIALIZED (SELECT id, rank, c FROM pl, cnt WHERE step = {steps})"""
+
+
+def yearly_pagerank(steps: int = 120, alpha: float = 0.85) -> str:
+    """CTEs after YEAR_EDGES in a WITH RECURSIVE; the last is ``pr(year, id, rank, c)``."""
+    return f"""n AS MATERIALIZED (SELECT year, src AS id FROM e UNION SELECT year, dst FROM e),
+  o AS MATERIALIZED (SELECT year, src, sum(weight) AS s FROM e GROUP BY 1, 2), cnt AS MATERIALIZED (SELECT year, count(*) AS c FROM n GROUP BY 1),
+  pl(step, year, id, rank) AS (SELECT 0, year, id, 1.0 / c FROM n JOIN cnt USING (year) UNION ALL
+    SELECT step + 1, pl.year, pl.id, {alpha} * (coalesce(f, 0) + coalesce(l, 0) / c) + {1 - alpha} / c FROM pl JOIN cnt ON cnt.year = pl.year
+      LEFT JOIN (SELECT z.year, sum(z.rank) AS l FROM pl z LEFT JOIN o ON o.year = z.year AND o.src = z.id WHERE o.src IS NULL GROUP BY 1) d ON d.year = pl.year
+      LEFT JOIN (SELECT e.year, e.dst, sum(r.rank * e.weight / o.s) AS f FROM e JOIN o ON e.src = o.src AND e.year = o.year JOIN pl r ON r.id = e.src AND r.year = e.year GROUP BY 1, 2) x
+        ON x.dst = pl.id AND x.year = pl.year WHERE step < {steps}),
+  pr AS MATERIALIZED (SELECT year, id, rank, c FROM pl JOIN cnt USING (year) WHERE step = {steps})"""
+
+
+def eigenvector(steps: int = 400) -> str:
+    """CTEs after EDGES and NODES in a WITH RECURSIVE; the last is ``eig(id, score)``."""
+    return f"""el(step, id, s) AS (SELECT 0, id, 1.0::DOUBLE FROM n UNION ALL
+    SELECT step + 1, id, s / max(s) OVER () FROM (SELECT el.step, el.id, el.s + coalesce(f, 0) AS s FROM el
+      LEFT JOIN (SELECT dst, sum(z.s * weight) AS f FROM e JOIN el z ON z.id = src GROUP BY 1) x ON x.dst = el.id) WHERE step < {steps}),
+  eig AS (SELECT id, s AS score FROM el WHERE step = {steps})"""
+
+
+def katz(steps: int = 80, alpha: float = 0.005, beta: float = 1.0) -> str:
+    """CTEs after EDGES and NODES in a WITH RECURSIVE; the last is ``kz(id, score)``."""
+    return f"""kl(step, id, s) AS (SELECT 0, id, 0.0::DOUBLE FROM n UNION ALL
+    SELECT step + 1, kl.id, {alpha} * coalesce(f, 0) + {beta} FROM kl LEFT JOIN (SELECT dst, sum(z.s * weight) AS f FROM e JOIN kl z ON z.id = src GROUP BY 1) x ON x.dst = kl.id WHERE step < {steps}),
+  kz AS (SELECT id, s AS score FROM kl WHERE step = {steps})"""
+
+
+def hits(steps: int = 120) -> str:
+    """CTEs after EDGES and NODES in a WITH RECURSIVE; the last is ``ht(id, authority, hub)``."""
+    auth = "(SELECT n.id, coalesce(f, 0) AS a FROM n LEFT JOIN (SELECT dst, sum(z.h * weight) AS f FROM e JOIN hl z ON z.id = src GROUP BY 1) x ON x.dst = n.id)"
+    return f"""hl(step, id, a, h) AS (SELECT 0, id, 1.0::DOUBLE, 1.0::DOUBLE FROM n UNION ALL
+    SELECT step + 1, id, a / max(a) OVER (), h / max(h) OVER () FROM (SELECT hl.step, hl.id, y.a, coalesce(g, 0) AS h FROM hl JOIN {auth} y ON y.id = hl.id
+      LEFT JOIN (SELECT src, sum(w.a * weight) AS g FROM e JOIN {auth} w ON w.id = dst GROUP BY 1) v ON v.src = hl.id) WHERE step < {steps}),
+  ht AS (SELECT id, a AS authority, h AS hub FROM hl WHERE step = {steps})"""
+
+
+# shortest paths with their numbers, then closeness and harmonic over incoming paths, and betweenness from sampled sources
+PATHS = """bfs(s, v, d, p) USING KEY (s, v) AS (SELECT id, id, 0, 1.0::DOUBLE FROM n UNION ALL
+    SELECT w.s, e.dst, w.d + 1, sum(w.p) FROM bfs w JOIN e ON e.src = w.v LEFT JOIN recurring.bfs r ON r.s = w.s AND r.v = e.dst WHERE r.s IS NULL GROUP BY 1, 2, 3),
+  dist AS MATERIALIZED (SELECT * FROM bfs),
+  near AS (SELECT v AS id, sum(1.0 / d) AS harmonic, (count(*) / ((SELECT count(*) FROM n) - 1)) * (count(*) / sum(d)) AS closeness FROM dist WHERE d > 0 GROUP BY 1),
+  cl AS (SELECT n.id, coalesce(closeness, 0) AS closeness, coalesce(harmonic, 0) AS harmonic FROM n LEFT JOIN near USING (id)),
+  smp AS (SELECT id FROM n ORDER BY md5(CAST(id AS VARCHAR)) LIMIT 500),
+  dep AS (SELECT a.v AS id, sum(a.p * b.p / t.p) AS b FROM dist a JOIN smp ON smp.id = a.s JOIN dist b ON b.s = a.v JOIN dist t ON t.s = a.s AND t.v = b.v
+    WHERE a.d > 0 AND b.d > 0 AND a.d + b.d = t.d GROUP BY 1),
+  bt AS (SELECT n.id, coalesce(b, 0) AS score FROM n LEFT JOIN dep USING (id))"""
 
 
 # one answer per line item; every answer is a practice of a camp, or of none on line 6; taxed ones are said twice

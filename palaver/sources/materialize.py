@@ -36,7 +36,21 @@ def materialize(df: DataFrame, label: str = "stage") -> DataFrame:
     path = f"{shared_dir(spark)}/palaver-{os.getpid()}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     _written[path] = spark
-    return spark.read.schema(df.schema).parquet(path)
+    scan = spark.read.schema(df.schema).parquet(path)
+    scan._palaver_path = path
+    return scan
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def free(df: DataFrame) -> None:
+    """Delete the table that ``df`` scans, if :func:`materialize` wrote it; what was computed from it must be written too."""
+    path = getattr(df, "_palaver_path", None)
+    if path in _written:
+        _delete(_written.pop(path), path)
 
 
 def release() -> None:
@@ -44,9 +58,7 @@ def release() -> None:
     while _written:
         path, spark = _written.popitem()
         try:
-            jvm = spark.sparkContext._jvm
-            target = jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+            _delete(spark, path)
         except Exception:  # the session may already be gone
             pass
 

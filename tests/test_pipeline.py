@@ -19,7 +19,7 @@ def test_authority_run_and_store(spark, tmp_path):
     q, a, u = first(spark, DATA, "questions", "owner_user_id", "score", "creation_date"), first(spark, DATA, "answers", "question_id", "owner_user_id", "score", "creation_date", "is_accepted"), first(spark, DATA, "users", "display_name", "reputation")
     with pytest.raises(TypeError):
         authority_run(q, a, u, str(tmp_path), no_such_option=1)
-    meta = authority_run(q, a, u, str(tmp_path), methods=("pagerank", "in_degree", "closeness", "nonsense"), pagerank_max_iter=8)
+    meta = authority_run(q, a, u, str(tmp_path), methods=("pagerank", "in_degree", "closeness", "nonsense"))
     store = Store(spark, str(tmp_path))
     assert store.run_meta()["nodes"] == str(meta["nodes"]) and store.run_meta()["note_nonsense"] == "unknown method"
     assert store.top_authorities(3).count() == 3
