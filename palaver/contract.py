@@ -6,6 +6,8 @@ from typing import Protocol
 
 from pyspark.sql import DataFrame
 
+from palaver.operators.resolver import Resolution
+
 
 class GroupProvider(Protocol):
     """Answers pooled per group."""
@@ -24,8 +26,11 @@ class AuthorityProvider(Protocol):
 class Resolver(Protocol):
     """Free-text questions to groups."""
 
-    def resolve(self, queries: DataFrame) -> DataFrame:
-        """(query_id, text) -> (query_id, group_id, question_id, retrieval_rank, retrieval_score, gate_decision)."""
+    def resolve(self, queries: DataFrame) -> Resolution:
+        """(query_id, text) -> answers (query_id, group_id, reused) and the candidate rows of new groups.
+
+        :class:`palaver.operators.resolver.TextResolver` is one.
+        """
 
 
 class Labeller(Protocol):
@@ -35,6 +40,21 @@ class Labeller(Protocol):
         """(group_id, idx, sentence) -> (group_id, run, idx, label)."""
 
 
+class HashedLabeller:
+    """Three labellings by plain rules, in place of a model asked three times: the words of a sentence, those of six letters or more, and its first three."""
+
+    def label(self, practices: DataFrame) -> DataFrame:
+        """(group_id, idx, sentence) -> (group_id, run, idx, label)."""
+        from pyspark.sql import functions as F
+
+        from palaver.operators.practices import words
+
+        said = words(F.col("sentence"))
+        keys = F.array(F.array_sort(F.array_distinct(said)), F.array_sort(F.array_distinct(F.filter(said, lambda w: F.length(w) >= 6))), F.slice(said, 1, 3))
+        each = practices.select("group_id", "idx", F.posexplode(keys).alias("run", "key"))
+        return each.select("group_id", "run", "idx", F.when(F.size("key") > 0, F.abs(F.xxhash64("key").cast("decimal(20,0)")).cast("bigint")).otherwise(-1).alias("label"))
+
+
 class PercentileAuthority:
     """Authority by percentile of a score over all users with a positive one."""
 

@@ -24,6 +24,11 @@ CODE_LINE = r"(^|\n)[ \t]*\[CODE\][ \t]*(\n|$)"
 PROSE_LEAST = 40
 ENTITY = r"&(amp|lt|gt|quot|apos|nbsp|#\d+);"
 SENTENCE_END = r"(?<=[.!?])\s+"
+FENCED_CODE = r"(?is)<pre[^>]*>\s*<code([^>]*)>(.*?)</code>\s*</pre>"
+CLASS_LIST = r'class="([^"]+)"'
+CODE_SPAN = r"(?is)<code[^>]*>(.*?)</code>"
+BREAKS = r"<br ?/?>"
+PARAGRAPH = r"</?p[^>]*>"
 DATE_FORMATS = ("yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd")
 COMMON_ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", "\u00a0"), ("&amp;", "&"))  # ampersand last
 LAST_SECOND = 253402300800  # the year 10000
@@ -73,6 +78,11 @@ def sentences(c: Column, most: int = 2) -> Column:
     return F.slice(F.filter(F.split(c, SENTENCE_END), lambda s: F.trim(s) != ""), 1, most)
 
 
+def query_text(c: Column) -> Column:
+    """Trimmed text in lower case; null where nothing is left."""
+    return F.nullif(F.lower(F.trim(c)), F.lit(""))
+
+
 def parse_epoch(c: Column) -> Column:
     """Epoch seconds from a number, a digit string or one of :data:`DATE_FORMATS`; null from anything else."""
     s = F.trim(c.cast("string"))
@@ -108,66 +118,84 @@ def shorten(c: Column, most: int) -> Column:
     return F.when(F.length(one) > most, F.concat(F.substring(one, 1, most), F.lit("..."))).otherwise(one)
 
 
+def _language(classes: str | None) -> str:
+    """The language that a class list names by 'language-' or 'lang-'."""
+    for word in (classes or "").split():
+        for mark in ("language-", "lang-"):
+            if word.startswith(mark):
+                return word[len(mark) :]
+    return ""
+
+
 class _Markdown(HTMLParser):
-    """Collects Markdown while tags open and close."""
+    """Renders elements to Markdown as they close; each open element holds the pieces of its content.
+
+    An item outside a list is plain content, text of a list outside its items is
+    dropped, and an element left open closes with the one around it.
+    """
 
-    INLINE = {"b": "**", "strong": "**", "i": "*", "em": "*"}
+    EMPTY = {"br": "  \n", "hr": "\n---\n", "img": "", "input": "", "wbr": ""}
+    AROUND = {"b": "**", "strong": "**", "i": "*", "em": "*"}
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.out: list[str] = []
-        self.lists: list[list] = []
-        self.link: list[str] = []
-        self.pre = False
+        self.open: list[tuple[str, dict, list[str]]] = [("", {}, [])]
+        self.raw = 0  # depth of code, whose content is kept as it is
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
+        if tag in self.EMPTY:
+            self.open[-1][2].append("" if self.raw else self.EMPTY[tag])
+            return
         at = dict(attrs)
-        if tag == "pre":
-            self.pre = True
-            self.out.append("\n```" + next((w.removeprefix("language-").removeprefix("lang-") for w in (at.get("class") or "").split() if w.startswith("lang")), "") + "\n")
-        elif tag == "code":
-            if not self.pre:
-                self.out.append("`")
-            elif self.out[-1] == "\n```\n" and "language-" in (at.get("class") or ""):
-                self.out[-1] = "\n```" + re.search(r"language-(\S+)", at["class"])[1] + "\n"
-        elif tag in self.INLINE:
-            self.out.append(self.INLINE[tag])
-        elif tag == "a":
-            self.link.append(at.get("href") or "")
-            self.out.append("[")
-        elif tag in ("ul", "ol"):
-            self.lists.append([tag, 0])
-        elif tag == "li" and self.lists:
-            self.lists[-1][1] += 1
-            mark = f"{self.lists[-1][1]}." if self.lists[-1][0] == "ol" else "-"
-            self.out.append("\n" + "  " * (len(self.lists) - 1) + mark + " ")
-        elif tag == "blockquote":
-            self.out.append("\n> ")
-        elif re.fullmatch("h[1-6]", tag):
-            self.out.append("\n" + "#" * int(tag[1]) + " ")
-        elif tag == "br":
-            self.out.append("\n")
-        elif tag == "hr":
-            self.out.append("\n---\n")
+        if tag == "code" and self.raw and (language := _language(at.get("class"))):
+            self.open[-1][1].setdefault("language", language)
+        self.raw += tag in ("pre", "code")
+        self.open.append((tag, at, []))
 
     def handle_endtag(self, tag: str) -> None:
+        if tag in (o[0] for o in self.open[1:]):
+            while self._close() != tag:
+                pass
+
+    def _close(self) -> str:
+        tag, at, parts = self.open.pop()
+        self.raw -= tag in ("pre", "code")
+        self.open[-1][2].append("".join(parts) if self.raw else self._render(tag, at, parts))
+        return tag
+
+    def _render(self, tag: str, at: dict, parts: list[str]) -> str:
+        inner = "".join(parts)
+        trimmed = inner.strip()
         if tag == "pre":
-            self.pre = False
-            self.out.append("\n```\n")
-        elif tag == "code" and not self.pre:
-            self.out.append("`")
-        elif tag in self.INLINE:
-            self.out.append(self.INLINE[tag])
-        elif tag == "a" and self.link:
-            self.out.append(f"]({self.link.pop()})")
-        elif tag in ("ul", "ol") and self.lists:
-            self.lists.pop()
-            self.out.append("\n")
-        elif tag == "p" or tag == "blockquote" or re.fullmatch("h[1-6]", tag):
-            self.out.append("\n\n")
+            code = inner.rstrip("\n")
+            return f"\n```{at.get('language', '')}\n{code}\n```\n"
+        if tag == "code":
+            return f"`{inner}`"
+        if tag in self.AROUND:
+            return self.AROUND[tag] + inner + self.AROUND[tag]
+        if tag == "a":
+            return f"[{trimmed}]({at['href']})" if at.get("href") else trimmed
+        if tag == "p":
+            return f"\n{inner}\n"
+        if tag == "blockquote":
+            return "\n" + "\n".join("> " + line for line in trimmed.splitlines()) + "\n"
+        if tag == "li" and self.open[-1][0] in ("ul", "ol"):
+            self.open[-1][1].setdefault("items", []).append(trimmed)
+            return ""
+        if tag in ("ul", "ol"):
+            marks = (f"{i}." if tag == "ol" else "-" for i in range(1, 10**9))
+            return "\n" + "\n".join(f"{m} {item}" for m, item in zip(marks, at.get("items", []))) + "\n"
+        if re.fullmatch("h[1-6]", tag):
+            return "\n" + "#" * int(tag[1]) + f" {trimmed}\n"
+        return inner
 
     def handle_data(self, data: str) -> None:
-        self.out.append(data)
+        self.open[-1][2].append(data)
+
+    def result(self) -> str:
+        while len(self.open) > 1:
+            self._close()
+        return "".join(self.open[0][2])
 
 
 def html_to_markdown(text: str | None) -> str:
@@ -177,7 +205,38 @@ def html_to_markdown(text: str | None) -> str:
     p = _Markdown()
     p.feed(text)
     p.close()
-    return re.sub(r"\n{3,}", "\n\n", "".join(p.out)).strip()
+    return re.sub(EMPTY_LINES, "\n\n", p.result()).strip()
+
+
+def markdown_by_pattern(text: str | None) -> str:
+    """Markdown by patterns alone: code, line ends and paragraphs; other tags go, tags that code shows go with them.
+
+    Entities of code are decoded before the tags go and once more at the end, as
+    the collectors' fallback does; '' for null.
+    """
+    if not text:
+        return ""
+    fence = lambda m: f"\n```{_language((re.search(CLASS_LIST, m[1]) or [None, None])[1])}\n{html.unescape(m[2]).rstrip(chr(10))}\n```\n"
+    t = re.sub(FENCED_CODE, fence, text)
+    t = re.sub(CODE_SPAN, lambda m: f"`{html.unescape(m[1])}`", t)
+    t = re.sub(BREAKS, "  \n", t)
+    t = re.sub(ANY_TAG, "", re.sub(PARAGRAPH, "\n", t))
+    return re.sub(EMPTY_LINES, "\n\n", html.unescape(t)).strip()
+
+
+@F.pandas_udf(T.StringType())
+def pattern_markdown(s: pd.Series) -> pd.Series:
+    """Markdown of HTML bodies by patterns alone."""
+    return s.map(markdown_by_pattern)
+
+
+def fenced_text(body: Column) -> Column:
+    """Plain text of an HTML body that keeps code: blocks fenced, spans in back quotes; tags go, common entities are decoded.  Null gives ''."""
+    t = F.coalesce(body, F.lit(""))
+    t = F.regexp_replace(t, r"(?s)<pre[^>]*>\s*<code[^>]*>(.*?)</code>\s*</pre>", "\n```\n$1\n```\n")
+    t = F.regexp_replace(t, r"(?s)<code[^>]*>(.*?)</code>", "`$1`")
+    t = F.regexp_replace(F.regexp_replace(t, LINE_ENDS, "\n"), ANY_TAG, "")
+    return F.trim(F.regexp_replace(unescape_common(t), EMPTY_LINES, "\n\n"))
 
 
 @F.pandas_udf(T.StringType())

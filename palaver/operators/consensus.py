@@ -59,7 +59,8 @@ def agreement(clusters: DataFrame, votes: DataFrame, runs: int) -> DataFrame:
 def ward_labels(x: np.ndarray, k: int) -> np.ndarray:
     """Ward clustering into ``k`` clusters by Lance-Williams updates; labels follow the smallest member."""
     n = len(x)
-    d = ((x[:, None, :] - x[None, :, :]) ** 2).sum(-1)
+    squares = (x**2).sum(1)
+    d = np.maximum(squares[:, None] + squares[None, :] - 2 * x @ x.T, 0)
     np.fill_diagonal(d, np.inf)
     size, alive, label = np.ones(n), np.ones(n, bool), np.arange(n)
     for _ in range(n - max(1, min(k, n))):
@@ -131,25 +132,33 @@ def pack_circles(radii: np.ndarray) -> np.ndarray:
 
 
 def circle_layout(points: DataFrame) -> DataFrame:
-    """(group_id, cluster, idx, x, y, r) of ``points(group_id, cluster, idx, weight)``: circles within circles, area in proportion to weight.
+    """(group_id, level, cluster, idx, x, y, r) of ``points(group_id, cluster, place, idx, weight)``: circles within circles in a unit circle.
 
-    A weight below 1e-6 counts as that.  Clusters are packed as circles around
-    their own points; a group is one document and is packed in one task.
+    Level 1 holds one circle per cluster, in the order of ``place``, with a null
+    idx; level 2 the points in theirs, in the order of idx.  The area of points is
+    in proportion to weight; a null weight or one below 1e-6 counts as that.  A
+    group is one document and is packed in one task.
     """
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        out, hulls = [], []
-        for _, part in sorted(rows.groupby("cluster"), key=lambda g: -len(g[1])):
-            part = part.sort_values(["weight", "idx"], ascending=[False, True])
+        parts, hulls = [], []
+        for _, part in rows.groupby(["place", "cluster"], sort=True):
+            part = part.sort_values("idx")
             r = np.sqrt(np.maximum(part["weight"].fillna(0).to_numpy(float), 1e-6))
             at = pack_circles(r)
             at = at - (at * (r**2)[:, None]).sum(0) / (r**2).sum()
             hulls.append((np.hypot(*at.T) + r).max())
-            out.append(part[["group_id", "cluster", "idx"]].assign(x=at[:, 0], y=at[:, 1], r=r))
-        for part, centre in zip(out, pack_circles(np.array(hulls))):
+            parts.append(part[["group_id", "cluster", "idx"]].assign(level=2, x=at[:, 0], y=at[:, 1], r=r))
+        centres = pack_circles(np.array(hulls))
+        for part, centre in zip(parts, centres):
             part["x"] += centre[0]
             part["y"] += centre[1]
-        return pd.concat(out)
+        shells = pd.DataFrame({"group_id": rows["group_id"].iloc[0], "cluster": [p["cluster"].iloc[0] for p in parts], "idx": None, "level": 1, "x": centres[:, 0], "y": centres[:, 1], "r": hulls})
+        out = pd.concat([shells, *parts])
+        whole = (np.hypot(centres[:, 0], centres[:, 1]) + np.array(hulls)).max()
+        out[["x", "y", "r"]] = out[["x", "y", "r"]] / whole
+        out["idx"] = out["idx"].astype("Int64")
+        return out[["group_id", "level", "cluster", "idx", "x", "y", "r"]]
 
     g, c = (points.schema[x].dataType.simpleString() for x in ("group_id", "cluster"))
-    return points.groupBy("group_id").applyInPandas(run, f"group_id {g}, cluster {c}, idx bigint, x double, y double, r double")
+    return points.groupBy("group_id").applyInPandas(run, f"group_id {g}, level int, cluster {c}, idx bigint, x double, y double, r double")

@@ -26,41 +26,79 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
 
-def cosine_topk(queries: DataFrame, corpus: DataFrame, k: int, threshold: float = 0.0, *, block: int = 4096) -> DataFrame:
+BLOCK = 4096  # queries that one task holds
+PART = 65_536  # rows of the corpus that a block of queries meets in one task
+
+
+def cosine_topk(queries: DataFrame, corpus: DataFrame, k: int, threshold: float = 0.0, *, block: int = BLOCK, part: int = PART) -> DataFrame:
     """(query_id, id, score, rank) with rank from 0: the ``k`` most similar of ``corpus(id, embedding)`` for each of ``queries(id, embedding)``.
 
-    A stated query set is compared with every corpus row, block by block of
-    queries: each block of at most ``block`` queries meets each corpus partition
-    once, keeps its own top k, and only those are shuffled.  With a threshold
-    above 0 only scores of at least it count.  Ties go to the smaller id.
+    A stated query set is compared with every corpus row.  Up to ``block`` queries
+    are broadcast; more are dealt into blocks, the corpus into parts, and each
+    block meets each part in a task of its own, which keeps its own top k: only
+    those are shuffled again.  With a threshold above 0 only scores of at least it
+    count.  Ties go to the smaller id, whatever the batches.
     """
-    n = queries.count()
-    parts = None
-    for b in range(max(1, -(-n // block))):
-        part = queries.where(F.pmod(F.xxhash64("id"), F.lit(max(1, -(-n // block)))) == b).toPandas()
-        q = queries.sparkSession.sparkContext.broadcast((part["id"].to_numpy(), _matrix(part["embedding"])))  # about ``block`` vectors
-
-        def run(batches: Iterator[pd.DataFrame], q=q) -> Iterator[pd.DataFrame]:
-            ids, x = q.value
-            if not len(ids):
-                return
+    out = "query_id bigint, id bigint, score double"
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+    sent = queries.select("id", "embedding").limit(block + 1).toPandas()  # one block and a row, never more
+    if len(sent) <= block:
+        q = queries.sparkSession.sparkContext.broadcast((sent["id"].to_numpy(), _matrix(sent["embedding"])))
+
+        def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             best = None
             for rows in batches:
-                s = _matrix(rows["embedding"]) @ x.T
-                keep = min(k, len(rows))
-                at = np.argpartition(-s, keep - 1, axis=0)[:keep]
-                got = pd.DataFrame({"query_id": np.tile(ids, keep), "id": rows["id"].to_numpy()[at].ravel(), "score": np.take_along_axis(s, at, 0).ravel()})
-                if threshold > 0:
-                    got = got[got["score"] >= threshold]
-                best = got if best is None else pd.concat([best, got])
-                best = best.sort_values(["query_id", "score", "id"], ascending=[True, False, True]).groupby("query_id").head(k)
+                best = _better(best, *q.value, rows, k, threshold)
             if best is not None:
                 yield best
 
-        found = corpus.select("id", "embedding").mapInPandas(run, "query_id bigint, id bigint, score double")
-        parts = found if parts is None else parts.unionByName(found)
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    return parts.withColumn("rank", F.row_number().over(w) - 1).where(F.col("rank") < k)
+        found = corpus.select("id", "embedding").mapInPandas(scan, out)
+    else:
+        blocks, parts = -(-queries.count() // block), max(1, -(-corpus.count() // part))
+        number = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+        asked = queries.select(number(blocks).alias("b"), every(parts).alias("p"), F.lit(0).alias("tag"), "id", F.col("embedding").cast("array<double>").alias("embedding"))
+        held = corpus.select(every(blocks).alias("b"), number(parts).alias("p"), F.lit(1).alias("tag"), "id", F.col("embedding").cast("array<double>").alias("embedding"))
+        met = asked.unionByName(held).withColumn("cell", F.col("b") * parts + F.col("p"))
+
+        def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            cell, mine, ready, best = None, [], None, None
+            for whole in batches:
+                for (c, tag), rows in whole.groupby(["cell", "tag"], sort=True):
+                    if c != cell:
+                        if best is not None:
+                            yield best
+                        cell, mine, ready, best = c, [], None, None
+                    if tag == 0:
+                        mine.append(rows)
+                        continue
+                    if ready is None and mine:
+                        one = pd.concat(mine)
+                        ready = one["id"].to_numpy(), _matrix(one["embedding"])
+                    if ready is not None:
+                        best = _better(best, *ready, rows, k, threshold)
+            if best is not None:
+                yield best
+
+        cells = blocks * parts
+        tasks = min(cells, 20_000)
+        found = met.repartitionById(tasks, F.pmod("cell", F.lit(tasks))).sortWithinPartitions("cell", "tag").select("cell", "tag", "id", "embedding").mapInPandas(meet, out)
+    return found.withColumn("rank", F.row_number().over(w) - 1).where(F.col("rank") < k)
+
+
+def _better(best: pd.DataFrame | None, ids: np.ndarray, x: np.ndarray, rows: pd.DataFrame, k: int, threshold: float) -> pd.DataFrame | None:
+    """The k best so far of each query after some more ``rows``; all that tie at the k-th place are sorted."""
+    if not len(ids) or not len(rows):
+        return best
+    s = _matrix(rows["embedding"]) @ x.T
+    keep = min(k, len(rows))
+    least = np.partition(s, len(rows) - keep, axis=0)[len(rows) - keep]
+    if threshold > 0:
+        least = np.maximum(least, threshold)
+    at, of = np.nonzero(s >= least)
+    got = pd.DataFrame({"query_id": ids[of], "id": rows["id"].to_numpy()[at], "score": s[at, of]})
+    both = got if best is None else pd.concat([best, got])
+    return both.sort_values(["query_id", "score", "id"], ascending=[True, False, True]).groupby("query_id").head(k)
 
 
 def _matrix(column: pd.Series) -> np.ndarray:
@@ -104,10 +142,38 @@ def medoids(members: DataFrame, vectors: DataFrame) -> DataFrame:
     the one there is, else the first.  ``members(group_id, id, pos)``.
     """
     # indexed members hold unit vectors
-    known = members.join(vectors.select("id", unit(F.col("embedding")).alias("v")), "id")
-    each = known.select("group_id", "id", "pos", F.posexplode("v").alias("d", "x"))
-    total = each.groupBy("group_id", "d").agg(F.sum("x").alias("t"))
-    score = each.join(total, ["group_id", "d"]).groupBy("group_id", "id", "pos").agg(F.round(F.sum(F.col("x") * F.col("t")), 9).alias("s"))
-    best = score.groupBy("group_id").agg(F.max_by("id", F.struct("s", (-F.col("pos")).alias("p"))).alias("best"))
+    known = members.join(vectors.select("id", "embedding"), "id").select("group_id", "id", "pos", "embedding")
+    kind = members.schema["group_id"].dataType.simpleString()
+
+    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """One sum per group and task; put out early if there are many groups."""
+        sums: dict = {}
+        for rows in batches:
+            x = _matrix(rows["embedding"])
+            for g, at in rows.reset_index(drop=True).groupby("group_id").groups.items():
+                part = x[at].sum(0)
+                sums[g] = sums[g] + part if g in sums else part
+            if len(sums) > 4096:
+                yield pd.DataFrame({"group_id": list(sums), "total": [v.tobytes() for v in sums.values()]})
+                sums = {}
+        if sums:
+            yield pd.DataFrame({"group_id": list(sums), "total": [v.tobytes() for v in sums.values()]})
+
+    def merge(rows: pd.DataFrame) -> pd.DataFrame:
+        total = np.sum([np.frombuffer(t, np.float64) for t in rows["total"]], axis=0)
+        return pd.DataFrame({"group_id": rows["group_id"].iloc[:1], "total": [total.tobytes()]})
+
+    # as many partial sums of a group as tasks
+    total = known.select("group_id", "embedding").mapInPandas(add, f"group_id {kind}, total binary").groupBy("group_id").applyInPandas(merge, f"group_id {kind}, total binary")
+
+    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            if len(rows):
+                t = np.frombuffer(b"".join(rows["total"]), np.float64).reshape(len(rows), -1)
+                yield rows[["group_id", "id", "pos"]].assign(s=np.round(np.einsum("nd,nd->n", _matrix(rows["embedding"]), t), 9))
+
+    pos = members.schema["pos"].dataType.simpleString()
+    scored = known.join(total, "group_id").mapInPandas(score, f"group_id {kind}, id bigint, pos {pos}, s double")
+    best = scored.groupBy("group_id").agg(F.max_by("id", F.struct("s", (-F.col("pos")).alias("p"))).alias("best"))
     first = members.groupBy("group_id").agg(F.min_by("id", "pos").alias("first"))
     return first.join(best, "group_id", "left").select("group_id", F.coalesce("best", "first").alias("medoid"))

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import replace
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,7 +15,7 @@ from palaver.graph import authority, communities, paths, spectral
 from palaver.graph.build import answer_pairs, judged, weigh
 from palaver.operators import signals
 from palaver.sources.materialize import materialize
-from palaver.sources.writers import overwrite
+from palaver.sources.writers import overwrite, replace_groups
 
 SPECTRAL = ("in_degree", "out_degree", "hits_authority", "hits_hub", "eigenvector", "katz")
 PATHS = ("closeness", "harmonic", "betweenness")
@@ -89,7 +91,9 @@ def authority_run(questions: DataFrame, answers: DataFrame, users: DataFrame, ou
 def bake(practices: DataFrame, authors: DataFrame, out: str, *, force: bool = False) -> DataFrame:
     """Signals and narrative of every group not yet baked below ``out`` (of all with ``force``); returns the groups baked.
 
-    ``practices`` and ``authors`` as in :mod:`palaver.operators.signals`.
+    ``practices`` and ``authors`` as in :mod:`palaver.operators.signals`.  New groups
+    are appended; the table that tells which are baked is written last, and a
+    group that an interrupted run has left in the others is counted once when read.
     """
     spark = practices.sparkSession
     todo = practices.select("group_id").distinct()
@@ -103,17 +107,40 @@ def bake(practices: DataFrame, authors: DataFrame, out: str, *, force: bool = Fa
     todo = materialize(todo, "todo")
     fresh = practices.join(todo, "group_id", "left_semi")
     camps, groups = signals.camp_signals(fresh, authors), materialize(signals.group_signals(fresh, authors), "groups")
-    for name, df in (("camp_signal", camps), ("query_signal", groups), ("query_narrative", signals.narrative(groups))):
+    for name, df in (("camp_signal", camps), ("query_narrative", signals.narrative(groups)), ("query_signal", groups)):  # the last says what is baked
         path = f"{out}/{name}.parquet"
-        try:
-            df = df.unionByName(spark.read.parquet(path).join(todo, "group_id", "left_anti"))
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-        overwrite(df, path)
+        if force:
+            try:
+                df = df.unionByName(spark.read.parquet(path).join(todo, "group_id", "left_anti"))
+            except AnalysisException as e:
+                if "PATH_NOT_FOUND" not in str(e):
+                    raise
+            overwrite(df, path)
+        else:  # groups baked before stay as they are
+            df.write.mode("append").parquet(path)
     return todo
 
 
+def answer_queries(resolver, queries: DataFrame, practices_of: Callable[[DataFrame], DataFrame], authors: DataFrame, out: str) -> DataFrame:
+    """Resolve ``queries(query_id, text)``, keep the candidates of new groups and bake what is not baked; returns (query_id, group_id, reused).
+
+    ``practices_of`` gives the practices of (group_id); a query that no group
+    answers has none.
+    """
+    got = resolver.resolve(queries)
+    answers = materialize(got.answers, "answers")
+    rows = got.rows
+    path = f"{out}/canonical_group.parquet"
+    try:
+        rows = replace_groups(queries.sparkSession.read.parquet(path), rows, ["group_id"])
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+    overwrite(rows, path)
+    bake(practices_of(answers.where("group_id IS NOT NULL").select("group_id").distinct()), authors, out)
+    return answers
+
+
 class Store:
     """Read side of an authority run and a bake."""
 
@@ -162,10 +189,22 @@ class Store:
         """Counts and notes of the run."""
         return {r["key"]: r["value"] for r in self._table("authority_run_meta").collect()}
 
+    def summary(self) -> dict:
+        """The run in one nested value: its counts, low years, communities and the ten highest users."""
+        return {
+            "run": self.run_meta(), "low_data_years": self.low_data_years(), "methods": self.centrality_methods(),
+            "communities": self.communities().agg(F.count_distinct("community_id")).first()[0], "top": [tuple(r) for r in self.top_authorities().collect()],
+        }
+
+    def answer(self, answers: DataFrame, answer_id: int) -> str | None:
+        """The text of one answer, its HTML where there is no text, None where there is no such answer."""
+        row = answers.where(F.col("answer_id") == answer_id).select(F.coalesce(F.nullif("body_text", F.lit("")), "body", F.lit("")).alias("t")).first()
+        return None if row is None else row["t"]
+
     def queries(self) -> DataFrame:
         """Baked groups with their headline."""
-        return self._table("query_signal").select("group_id", "shape_label").join(self._table("query_narrative"), "group_id").orderBy("group_id")
+        return self._table("query_signal").select("group_id", "shape_label").distinct().join(self._table("query_narrative").distinct(), "group_id").orderBy("group_id")
 
     def breakdown(self, group_id) -> DataFrame:
         """Camps of one group, the largest share first."""
-        return self._table("camp_signal").where(F.col("group_id") == group_id).orderBy(F.desc("vote_share"), "first_ext")
+        return self._table("camp_signal").where(F.col("group_id") == group_id).distinct().orderBy(F.desc("vote_share"), "first_ext")

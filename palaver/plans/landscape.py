@@ -81,7 +81,7 @@ def camp_signal(spark: SparkSession, d: str) -> DataFrame:
     return signals.camp_signals(held(spark, d), authorities(spark, d))
 
 
-@REGISTRY.query("query_signal", f"""WITH {PRACTICES}, {CAMPS}, {PRIMARY}, {_HEAD},
+SIGNAL_SQL = f"""WITH {PRACTICES}, {CAMPS}, {PRIMARY}, {_HEAD},
   vt AS (SELECT group_id, answer_id, max(greatest(vote, 0)) AS v, bool_or(camp_id IS NOT NULL) AS hd, max(author_id) AS author_id FROM p GROUP BY 1, 2),
   al AS (SELECT group_id, count(*) AS n_answers, sum(v) AS grand, coalesce(sum(CASE WHEN hd THEN v END), 0) AS hv, count(k.author_id) AS covered FROM vt LEFT JOIN known k USING (author_id) GROUP BY 1),
   sz AS (SELECT group_id, count(*) AS n_practices, count(CASE WHEN camp_id IS NULL THEN 1 END) AS n_longtail FROM p GROUP BY 1),
@@ -93,7 +93,10 @@ SELECT group_id, n_answers, n_practices, coalesce(n_head, 0) AS n_head_camps, n_
   CAST(n_head IS NULL OR agree < 0.6 OR (n_head >= 2 AND {shape('(t1 + t2)', 't3')} <> label) AS INTEGER) AS shape_fragile, leader AS vote_leader_cluster, CASE WHEN ok THEN a1 END AS top1_author,
   CASE WHEN ok THEN round(pr1 / pr_total, 4) END AS top1_pr_share, coalesce(CASE WHEN ok THEN round(pr3 / pr_total, 4) END, 0.0) AS top3_pr_share, CAST(coalesce(ok AND pr1 / pr_total > 0.5, false) AS INTEGER) AS single_voice_dominated,
   CASE WHEN ok THEN c1 END AS top1_author_cluster, CAST(coalesce(ok AND c1 <> leader, false) AS INTEGER) AS authority_diverges, CAST(coalesce(inl, 0) AS INTEGER) AS top3_in_vote_leader,
-  round(covered / n_answers, 4) AS authority_coverage_overall, prev AS prevalence_leader_cluster, CAST(coalesce(prev <> leader, false) AS INTEGER) AS prevalence_diverges FROM j""")
+  round(covered / n_answers, 4) AS authority_coverage_overall, prev AS prevalence_leader_cluster, CAST(coalesce(prev <> leader, false) AS INTEGER) AS prevalence_diverges FROM j"""
+
+
+@REGISTRY.query("query_signal", SIGNAL_SQL)
 def query_signal(spark: SparkSession, d: str) -> DataFrame:
     return signals.group_signals(held(spark, d), authorities(spark, d))
 
@@ -108,7 +111,8 @@ def signal_table_text(spark: SparkSession, d: str) -> DataFrame:
     return signals.signal_text(signals.camp_votes(practices(spark, d)))
 
 
-@REGISTRY.query("narrative")
+@REGISTRY.query("narrative", f"""WITH s AS ({SIGNAL_SQL}) SELECT group_id, upper(shape_label[1]) || shape_label[2:] || ' over ' || n_head_camps || ' camps; the largest holds ' || CAST(round(100 * top1_share) AS INTEGER) || '%'
+ || CASE WHEN authority_diverges = 1 THEN '; the most central author stands elsewhere' ELSE '' END AS headline FROM s""")
 def narrative(spark: SparkSession, d: str) -> DataFrame:
     """A describing sentence per group; a template stands in for a written narrative."""
     return signals.narrative(signals.group_signals(held(spark, d), authorities(spark, d)))
@@ -188,7 +192,9 @@ def breakdown_documents(spark: SparkSession, d: str) -> DataFrame:
 @REGISTRY.query("circle_pack")
 def circle_pack(spark: SparkSession, d: str) -> DataFrame:
     """Positions of all points; checked by properties in the tests."""
-    return consensus.circle_layout(points(spark, d).select("group_id", "cluster", F.col("ext_id").alias("idx"), "weight"))
+    p = points(spark, d).select("group_id", "cluster", F.col("ext_id").alias("idx"), "weight")
+    place = shells(spark, d).select("group_id", F.col("shell_id").alias("cluster"), "place")
+    return consensus.circle_layout(p.join(place, ["group_id", "cluster"], "left").withColumn("place", F.coalesce("place", F.lit(1 << 40))))  # the long tail last
 
 
 @REGISTRY.query("usage_cost_rollup", "SELECT coalesce(event_type, 'total') AS tier, count(*) AS calls, round(sum(value), 2) AS cost FROM events GROUP BY ROLLUP (event_type)")
@@ -228,11 +234,15 @@ def majority_clusters(spark: SparkSession, d: str) -> DataFrame:
     return _clusters(spark, d)[0]
 
 
-@REGISTRY.query("cluster_agreement")
+@REGISTRY.query("cluster_agreement", f"""WITH RECURSIVE {_LABELS}, v AS MATERIALIZED (SELECT x.group_id, x.idx AS i, y.idx AS j, count(DISTINCT x.run) AS votes FROM lb x JOIN lb y ON x.group_id = y.group_id AND x.run = y.run AND x.label = y.label AND x.idx < y.idx GROUP BY 1, 2, 3),
+ b AS (SELECT group_id, i AS x, j AS y FROM v WHERE votes >= 2 UNION SELECT group_id, j, i FROM v WHERE votes >= 2), w(group_id, idx, root) AS (SELECT p_size, idx, idx FROM g UNION SELECT w.group_id, b.y, w.root FROM w JOIN b ON b.group_id = w.group_id AND b.x = w.idx WHERE w.root < b.y),
+ k AS (SELECT group_id, idx, min(root) AS cluster FROM w GROUP BY 1, 2), z AS (SELECT group_id, cluster, count(*) AS size FROM k GROUP BY 1, 2),
+ n AS (SELECT v.group_id, x.cluster, sum(votes) AS s FROM v JOIN k x ON x.group_id = v.group_id AND x.idx = i JOIN k y ON y.group_id = v.group_id AND y.idx = j WHERE x.cluster = y.cluster GROUP BY 1, 2)
+SELECT group_id, cluster, size, round(CASE WHEN size < 2 THEN 1.0 ELSE coalesce(s, 0) / 3.0 / (size * (size - 1) / 2) END, 6) AS agreement FROM z LEFT JOIN n USING (group_id, cluster)""")
 def cluster_agreement(spark: SparkSession, d: str) -> DataFrame:
     """Size and within-cluster agreement of every majority cluster; checked against brute force in the tests."""
     clusters, votes = _clusters(spark, d)
-    return consensus.agreement(clusters, votes, 3)
+    return consensus.agreement(clusters, votes, 3).withColumn("agreement", F.round("agreement", 6))
 
 
 @REGISTRY.query("ward_companion")
@@ -324,7 +334,9 @@ def stream_windows(spark: SparkSession, d: str) -> DataFrame:
     """Daily counts of the event stream, run to its end with a watermark (an extension)."""
     import uuid
 
+    from palaver.sources.materialize import shared_dir
     from palaver.streaming.edges import event_stream, run_to_end, windowed_counts
 
-    done = run_to_end(windowed_counts(event_stream(spark, f"{d}/events.parquet")), f"windows_{uuid.uuid4().hex}")
+    folder = f"{shared_dir(spark)}/palaver-stream-{uuid.uuid4().hex}"  # of this run; one that should go on names its own
+    done = run_to_end(windowed_counts(event_stream(spark, f"{d}/events.parquet")), ["start", "event_type"], f"{folder}/windows", f"{folder}/checkpoint")
     return done.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))

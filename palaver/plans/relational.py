@@ -210,9 +210,10 @@ def quality_ratios(spark: SparkSession, d: str) -> DataFrame:
     return pct(questions(spark, d, "is_closed"), "closed questions", F.when(F.col("is_closed") == 1, 1)).unionByName(pct(comments(spark, d, "reply_to_user_id"), "comments with reply", F.col("reply_to_user_id")))
 
 
-@REGISTRY.query("tag_flags", f"WITH {Q} SELECT question_id, " + ", ".join(f"CAST(coalesce(list_contains(tags, '{t}'), false) AS INTEGER) AS {t}" for t in TRACKED) + " FROM q")
+@REGISTRY.query("tag_flags", f"WITH {Q} SELECT question_id, 1 AS {TRACKED[0]}, " + ", ".join(f"CAST(coalesce(list_contains(tags, '{t}'), false) AS INTEGER) AS {t}" for t in TRACKED[1:]) + " FROM q")
 def tag_flags(spark: SparkSession, d: str) -> DataFrame:
-    return questions(spark, d, "tags").select("question_id", *one_hot(F.col("tags"), TRACKED))
+    """Flags of the tracked tags; the one that was collected by is always set."""
+    return questions(spark, d, "tags").select("question_id", *one_hot(F.col("tags"), TRACKED, forced=TRACKED[0]))
 
 
 @REGISTRY.query("monthly_questions", f"WITH {Q} SELECT {month('creation_date')} AS month, count(*) AS n, {year('min(creation_date)')} AS year FROM q WHERE creation_date IS NOT NULL GROUP BY 1")
@@ -331,9 +332,10 @@ def downstream_sample(spark: SparkSession, d: str) -> DataFrame:
     return answers(spark, d, "score", "body_text").where("body_text <> ''").orderBy(F.desc_nulls_last("score"), "answer_id").limit(5).select("answer_id", "score")
 
 
-@REGISTRY.query("first_sentences")
+@REGISTRY.query("first_sentences", f"""WITH {A}, s AS (SELECT answer_id, string_split(regexp_replace(body_text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)) AS s FROM a)
+SELECT answer_id, array_to_string(list_filter(s, lambda x: trim(x) <> '')[1:2], ' | ') AS head FROM s""")
 def first_sentences(spark: SparkSession, d: str) -> DataFrame:
-    """The first two sentences of every answer; the look-behind split has no DuckDB form."""
+    """The first two sentences of every answer."""
     return answers(spark, d, "body_text").select("answer_id", F.array_join(sentences(F.col("body_text")), " | ").alias("head"))
 
 

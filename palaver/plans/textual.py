@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palaver.functions.text import clean_html, evidence_type, first_entity, markdown, parse_epoch, shorten
+from palaver.functions.text import clean_html, evidence_type, fenced_text, first_entity, markdown, parse_epoch, pattern_markdown, shorten, to_html
 from palaver.plans.registry import Registry
 from palaver.plans.relational import answers, questions
 from palaver.plans.sqltext import Q
@@ -40,8 +40,11 @@ def html_markdown(spark: SparkSession, d: str) -> DataFrame:
 _REST = "replace(regexp_replace(regexp_replace(coalesce(text, ''), '```.*?```', ' ', 'gs'), '(^|\\n)[ \\t]*\\[CODE\\][ \\t]*(\\n|$)', ' ', 'g'), '[CODE]', ' ')"
 
 
-@REGISTRY.query("evidence_type", f"""SELECT doc_id, CASE WHEN NOT (regexp_matches(coalesce(text, ''), '```.*?```', 's') OR regexp_matches(coalesce(text, ''), '(^|\\n)[ \\t]*\\[CODE\\][ \\t]*(\\n|$)')) THEN 'prose'
- WHEN length(trim(regexp_replace({_REST}, '\\s+', ' ', 'g'))) < 40 THEN 'code' ELSE 'both' END AS evidence FROM documents""")
+EVIDENCE = f"""CASE WHEN NOT (regexp_matches(coalesce(text, ''), '```.*?```', 's') OR regexp_matches(coalesce(text, ''), '(^|\\n)[ \\t]*\\[CODE\\][ \\t]*(\\n|$)')) THEN 'prose'
+ WHEN length(trim(regexp_replace({_REST}, '\\s+', ' ', 'g'))) < 40 THEN 'code' ELSE 'both' END"""  # of a column ``text``
+
+
+@REGISTRY.query("evidence_type", f"SELECT doc_id, {EVIDENCE} AS evidence FROM documents")
 def evidence(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", evidence_type(F.col("text")).alias("evidence"))
 
@@ -52,12 +55,41 @@ def entity_dirty_rate(spark: SparkSession, d: str) -> DataFrame:
     return questions(spark, d, "body_text").groupBy(first_entity(F.col("body_text")).alias("entity")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@REGISTRY.query("epoch_parse", f"WITH {Q} SELECT question_id, creation_date AS epoch FROM q")
+@REGISTRY.query("epoch_parse", f"WITH {Q} SELECT question_id, form, CASE WHEN form = 'day' THEN creation_date - ((creation_date % 86400) + 86400) % 86400 WHEN form <> 'junk' THEN creation_date END AS epoch FROM q, (VALUES ('digits'), ('stamp'), ('iso'), ('day'), ('junk')) f(form) WHERE abs(creation_date) < 100000000000 OR creation_date IS NULL")
 def epoch_parse(spark: SparkSession, d: str) -> DataFrame:
-    """Times written as digits and read back; other forms are in the tests."""
-    return questions(spark, d, "creation_date").select("question_id", parse_epoch(F.col("creation_date").cast("string")).alias("epoch"))
+    """Times written as digits, in the three date forms and with something after them, read back."""
+    t = F.col("creation_date").cast("timestamp")
+    forms = {
+        "digits": F.concat(F.lit(" "), F.col("creation_date").cast("string")), "stamp": F.date_format(t, "yyyy-MM-dd HH:mm:ss"), "iso": F.date_format(t, "yyyy-MM-dd'T'HH:mm:ss"),
+        "day": F.date_format(t, "yyyy-MM-dd"), "junk": F.concat(F.date_format(t, "yyyy-MM-dd"), F.lit(" about noon")),
+    }
+    q = questions(spark, d, "creation_date").where("abs(creation_date) < 100000000000 OR creation_date IS NULL")  # years of four digits
+    each = q.select("question_id", F.explode(F.array(*[F.struct(F.lit(f).alias("form"), c.alias("text")) for f, c in forms.items()])).alias("x"))
+    return each.select("question_id", "x.form", parse_epoch(F.col("x.text")).alias("epoch"))
 
 
 @REGISTRY.query("title_prefix", f"WITH {Q} SELECT question_id, CASE WHEN length(replace(title, chr(10), ' ')) > 40 THEN substr(replace(title, chr(10), ' '), 1, 40) || '...' ELSE replace(title, chr(10), ' ') END AS short FROM q")
 def title_prefix(spark: SparkSession, d: str) -> DataFrame:
     return questions(spark, d, "title").select("question_id", shorten(F.col("title"), 40).alias("short"))
+
+
+@REGISTRY.query("markdown_by_pattern")
+def markdown_by_pattern(spark: SparkSession, d: str) -> DataFrame:
+    """Markdown of answer bodies by patterns alone; checked on small texts in the tests."""
+    return answers(spark, d, "body").select("answer_id", pattern_markdown(F.coalesce("body", F.lit(""))).alias("markdown"))
+
+
+@REGISTRY.query("markdown_to_html")
+def markdown_html(spark: SparkSession, d: str) -> DataFrame:
+    """HTML of documents taken as Markdown; checked on small texts in the tests."""
+    return table(spark, d, "documents").select("doc_id", to_html(F.coalesce("text", F.lit(""))).alias("html"))
+
+
+_FENCED = f"""regexp_replace(regexp_replace(coalesce(body, ''), '<pre[^>]*>\\s*<code[^>]*>(.*?)</code>\\s*</pre>', chr(10) || '```' || chr(10) || '\\1' || chr(10) || '```' || chr(10), 'gs'), '<code[^>]*>(.*?)</code>', '`\\1`', 'gs')"""
+_FENCED_TEXT = _UNESCAPED.format(f"regexp_replace(regexp_replace({_FENCED}, '<br>|<br/>|<br />|</p>|</li>', chr(10), 'g'), '<[^>]+>', '', 'g')")
+
+
+@REGISTRY.query("fenced_text", f"WITH {Q} SELECT question_id, trim(regexp_replace({_FENCED_TEXT}, '\\n{{3,}}', chr(10) || chr(10), 'g')) AS text FROM q")
+def fenced(spark: SparkSession, d: str) -> DataFrame:
+    """Plain text of question bodies with their code kept."""
+    return questions(spark, d, "body").select("question_id", fenced_text(F.col("body")).alias("text"))

@@ -12,6 +12,8 @@ from __future__ import annotations
 import json
 import os
 import sqlite3
+import time
+import warnings
 from collections.abc import Iterator
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -45,6 +47,13 @@ def _type(declared: str):
     return DoubleType() if any(x in d for x in ("REAL", "FLOA", "DOUB")) else StringType()
 
 
+def sqlite_tables(path: str) -> list[tuple[str, str, str, bool]]:
+    """(table, column, declared type, part of the primary key) of every table, for introspection."""
+    with _open(path) as con:
+        names = [n for (n,) in con.execute("SELECT name FROM sqlite_master WHERE type = 'table' ORDER BY name")]
+        return [(t, c, k, bool(pk)) for t in names for c, k, pk in con.execute("SELECT name, type, pk FROM pragma_table_info(?)", (t,))]
+
+
 class _Range(InputPartition):
     def __init__(self, lo: int, hi: int) -> None:
         self.lo, self.hi = lo, hi
@@ -102,8 +111,14 @@ class _SQLiteReader(DataSourceReader):
 class ReplayedPages(DataSource):
     """Items of saved JSON pages ``<path>/<series>/<n>.json``, each ``{"items": [...]}``; one task per series.
 
-    Pages are read in order; two empty ones in a row end a series, ``most`` items
-    end it too.  Fields that an item lacks are null.
+    A series is named for what it covers, such as a month.  Pages are read in
+    order; two empty ones in a row end a series, ``most`` items end it too, and a
+    warning says so.  ``since`` and ``until`` are names: series before the one or
+    from the other on are left out.  A page that says ``"backoff"`` or ``"error"``
+    is read again up to ``tries`` times (5), waiting twice as long each time from
+    ``wait`` seconds on (0.5); then the series fails.  One whose ``quota_remaining``
+    is below ``quota`` (0) ends the series with a warning.  Fields that an item
+    lacks are null.
     """
 
     @classmethod
@@ -114,7 +129,10 @@ class ReplayedPages(DataSource):
         raise SourceError("give a schema: pages have none")
 
     def reader(self, schema: StructType) -> DataSourceReader:
-        return _PageReader(self.options["path"], schema, int(self.options.get("most", "0")))
+        o = self.options
+        return _PageReader(
+            o["path"], schema, int(o.get("most", "0")), o.get("since", ""), o.get("until", ""), int(o.get("tries", "5")), float(o.get("wait", "0.5")), int(o.get("quota", "0"))
+        )
 
 
 class _Series(InputPartition):
@@ -123,17 +141,31 @@ class _Series(InputPartition):
 
 
 class _PageReader(DataSourceReader):
-    def __init__(self, path: str, schema: StructType, most: int) -> None:
+    def __init__(self, path: str, schema: StructType, most: int, since: str, until: str, tries: int, wait: float, quota: int) -> None:
         self.path, self.schema, self.most = path, schema, most
+        self.since, self.until, self.tries, self.wait, self.quota = since, until, tries, wait, quota
 
     def partitions(self) -> list[InputPartition]:
-        return [_Series(e.path) for e in sorted(os.scandir(self.path), key=lambda e: e.name) if e.is_dir()]
+        found = sorted((e for e in os.scandir(self.path) if e.is_dir()), key=lambda e: e.name)
+        return [_Series(e.path) for e in found if e.name >= self.since and (not self.until or e.name < self.until)]
+
+    def _page(self, path: str) -> dict:
+        wait = self.wait
+        for left in reversed(range(self.tries)):
+            with open(path) as f:
+                page = json.load(f)
+            if "backoff" not in page and "error" not in page:
+                return page
+            if left:
+                time.sleep(max(wait, float(page.get("backoff", 0))))
+                wait *= 2
+        raise SourceError(f"{path} gave no answer in {self.tries} tries")
 
     def read(self, part: _Series) -> Iterator[tuple]:
         empty = given = 0
         for name in sorted(os.listdir(part.folder), key=lambda n: int(n.split(".")[0])):
-            with open(os.path.join(part.folder, name)) as f:
-                items = json.load(f).get("items", [])
+            page = self._page(os.path.join(part.folder, name))
+            items = page.get("items", [])
             empty = 0 if items else empty + 1
             if empty == 2:
                 return
@@ -141,4 +173,8 @@ class _PageReader(DataSourceReader):
                 yield tuple(item.get(f.name) for f in self.schema)
                 given += 1
                 if given == self.most:
+                    warnings.warn(f"{part.folder}: stopped at {self.most} items", stacklevel=1)
                     return
+            if page.get("quota_remaining", self.quota) < self.quota:
+                warnings.warn(f"{part.folder}: stopped after {given} items, the quota is used up", stacklevel=1)
+                return

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -26,6 +27,37 @@ def select_tolerant(df: DataFrame, wanted: Mapping[str, Column]) -> DataFrame:
     return df.select(*[(F.col(f"`{c}`") if c in have else default).alias(c) for c, default in wanted.items()])
 
 
+def table_or_empty(spark: SparkSession, sf_dir: str, name: str, schema: str) -> DataFrame:
+    """The table in the columns of ``schema``, those it lacks null; no rows where there is no such table."""
+    wanted = spark.createDataFrame([], schema)
+    try:
+        have = table(spark, sf_dir, name)
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return wanted
+    return select_tolerant(have, {f.name: F.lit(None).cast(f.dataType) for f in wanted.schema})
+
+
+def json_items(spark: SparkSession, path: str, array: str, schema: str) -> DataFrame:
+    """(…, pos) of the items of the array field ``array`` of one JSON document or of a list of them, in their order; ``schema`` is an item's."""
+    docs = spark.read.schema(f"`{array}` array<struct<{schema}>>").option("multiLine", True).json(path)
+    return docs.select(F.posexplode(array).alias("pos", "item")).select("item.*", "pos")
+
+
+def write_json(df: DataFrame, path: str) -> None:
+    """Rows as JSON lines, replacing what is there; nulls are kept."""
+    df.write.mode("overwrite").option("ignoreNullFields", False).json(path)
+
+
+def evolved(df: DataFrame, add: Mapping[str, Column] | None = None, rename: Mapping[str, str] | None = None) -> DataFrame:
+    """``df`` with columns renamed and, unless it has them, added: as often as one likes with the same result."""
+    for old, new in (rename or {}).items():
+        if old in df.columns and new not in df.columns:
+            df = df.withColumnRenamed(old, new)
+    return df.withColumns({c: v for c, v in (add or {}).items() if c not in df.columns})
+
+
 def first_rows(df: DataFrame, key: str, *columns: str, order: str = "collected_at") -> DataFrame:
     """One row per non-null ``key``: the one with the smallest ``order``.
 

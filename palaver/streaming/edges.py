@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import LongType, StructField, StructType
 
 from palaver.sources.writers import undone
 
@@ -55,10 +56,27 @@ def append_once(stream: DataFrame, target: str, ledger: str, keys: list[str], ch
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def run_to_end(df: DataFrame, name: str, mode: str = "complete") -> DataFrame:
-    """Process all that is there into an in-memory table and return it."""
-    q = df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return df.sparkSession.table(name)
+def run_to_end(df: DataFrame, keys: list[str], folder: str, checkpoint: str) -> DataFrame:
+    """Process all that is there and return the latest row of each key, from files below ``folder``.
 
+    Every batch writes the rows it changed as a table of its own under its number,
+    so one that is run again overwrites what it wrote and a restart goes on from
+    ``checkpoint``, a folder that all executors share.  Nothing passes the driver.
+    Late rows are dropped by the watermark of ``df``.
+    """
 
+    def batch(rows: DataFrame, number: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{folder}/batch={number}")
+
+    df.writeStream.outputMode("update").foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    spark = df.sparkSession
+    try:
+        all_ = spark.read.option("basePath", folder).schema(StructType([*df.schema, StructField("batch", LongType())])).parquet(folder)
+        all_.take(1)
+    except Exception as e:  # no batch has had rows
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return spark.createDataFrame([], df.schema)
+    rest = [c for c in df.columns if c not in keys]
+    newest = all_.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("r"))
+    return newest.select(*keys, "r.*").select(*df.columns)

@@ -249,11 +249,137 @@ def test_stream_counts_and_resume(spark, tmp_path):
     from palaver.streaming.edges import append_once, event_stream, run_to_end, windowed_counts
 
     source = str(tmp_path / "events")
-    spark.createDataFrame([(1, "2024-01-01 01:00:00", "a", 1.0), (2, "2024-01-01 02:00:00", "a", 2.0), (3, "2024-01-02 02:00:00", "b", 3.0)], "event_id bigint, ts string, event_type string, value double").withColumn("ts", F.to_timestamp("ts")).write.parquet(source)
-    got = {(str(r["start"])[:10], r["event_type"]): (r["n"], r["total"]) for r in run_to_end(windowed_counts(event_stream(spark, source)), "counted").collect()}
-    assert got == {("2024-01-01", "a"): (2, 3.0), ("2024-01-02", "b"): (1, 3.0)}
+    kind = "event_id bigint, ts string, event_type string, value double"
+
+    def arrive(*rows):
+        spark.createDataFrame(rows, kind).withColumn("ts", F.to_timestamp("ts")).coalesce(1).write.mode("append").parquet(source)
+
+    def counted():
+        df = run_to_end(windowed_counts(event_stream(spark, source)), ["start", "event_type"], str(tmp_path / "windows"), str(tmp_path / "marks"))
+        return {(str(r["start"])[:10], r["event_type"]): (r["n"], r["total"]) for r in df.collect()}
+
+    arrive((1, "2024-01-01 01:00:00", "a", 1.0), (2, "2024-01-01 02:00:00", "a", 2.0), (3, "2024-01-02 02:00:00", "b", 3.0))
+    assert counted() == {("2024-01-01", "a"): (2, 3.0), ("2024-01-02", "b"): (1, 3.0)}
+    arrive((4, "2024-01-09 00:00:00", "b", 1.0))
+    counted()  # the watermark is now two days before that
+    arrive((5, "2024-01-01 03:00:00", "a", 9.0), (6, "2024-01-08 03:00:00", "a", 4.0))
+    got = counted()
+    assert got[("2024-01-01", "a")] == (2, 3.0)  # late, so dropped
+    assert got[("2024-01-08", "a")] == (1, 4.0) and got[("2024-01-09", "b")] == (1, 1.0)
     target, ledger = str(tmp_path / "out"), str(tmp_path / "ledger")
     for i in range(2):  # another checkpoint reads everything again; the ledger keeps it from being written again
-        spark.createDataFrame([(10 + i, "c")], "event_id bigint, event_type string").withColumns({"ts": F.current_timestamp(), "value": F.lit(0.0)}).select("event_id", "ts", "event_type", "value").write.mode("append").parquet(source)
+        arrive((10 + i, "2024-02-01 00:00:00", "c", 0.0))
         append_once(event_stream(spark, source), target, ledger, ["event_id"], str(tmp_path / "checkpoint")).awaitTermination()
-    assert sorted(r["event_id"] for r in spark.read.parquet(target).collect()) == [1, 2, 3, 10, 11]
+    assert sorted(r["event_id"] for r in spark.read.parquet(target).collect()) == [1, 2, 3, 4, 5, 6, 10, 11]
+
+
+def test_markdown_marks():
+    m = text.html_to_markdown
+    assert m("<blockquote>a<br>b</blockquote>") == "> a  \n> b"
+    assert m("<p>x<br/>y</p><hr><ul>lost<li>i <em>j</em></li><li>k</li></ul>") == "x  \ny\n\n---\n\n- i *j*\n- k"
+    assert m('<pre class="x"><code class="lang-py hl">a &lt; b\n</code></pre>') == "```py\na < b\n```"
+    assert m("<a>t</a><a href='u'> v </a><li>w</li><p>open") == "t[v](u)w\nopen" and m(None) == m("") == ""
+    p = text.markdown_by_pattern
+    assert p('<p>x</p><pre><code class="language-js">f() &amp;amp;\n</code></pre>y<br />z') == "x\n\n```js\nf() &\n```\ny  \nz"
+    assert p("a <code>&lt;b&gt;c</code>") == "a `c`" and p(None) == ""  # decoded before the tags go
+
+
+def test_practices_of_an_answer(spark):
+    from palaver.operators import practices as ops
+
+    a = spark.createDataFrame([(1, "How to update state", "Use the state setter when you merge, if it is old, unless x, when y is so. No. Always copy first!"), (2, None, None), (3, "t", "")], "answer_id bigint, parent_title string, body_text string")
+    got = [(r["practice_rank"], r["conditions"], r["relevant"], r["substantive"], r["evidence_type"]) for r in ops.extract(a).orderBy("practice_rank").collect()]
+    assert got == [(0, ["when you merge", "if it is old", "unless x"], 1, 1, "prose"), (1, [], 0, 0, "prose")]
+    gone, none = ops.matched(ops.extract(a), a.where("answer_id = 2"))
+    assert gone.count() == 0 and none.first()[0] == 2
+    flags = spark.createDataFrame([(1, 1, None), (1, None, "equivalent"), (0, 1, "borderline")], "r int, s int, g string")
+    assert [tuple(x) for x in flags.select(ops.is_kept(F.col("r"), F.col("s")), ops.is_member(F.col("g"))).collect()] == [(True, True), (False, True), (False, False)]
+
+
+def test_names_companions_and_renames(spark):
+    from palaver.operators import practices as ops
+
+    m = spark.createDataFrame([("g", 1, "copy the state"), ("g", 1, "copy state first"), ("g", 2, "state reducer"), ("g", 3, "..."), ("h", 1, "same words"), ("h", 2, "words same")], "group_id string, cluster bigint, sentence string")
+    got = {(r["group_id"], r["cluster"]): r["name"] for r in ops.cluster_names(m).collect()}
+    assert got == {("g", 1): "copy first the", ("g", 2): "reducer state", ("g", 3): "", ("h", 1): "same words", ("h", 2): "same words ·2"}
+    c = spark.createDataFrame([("g", 0, 5), ("g", 1, 5), ("g", 2, 6)], "group_id string, idx bigint, cluster bigint")
+    k = spark.createDataFrame([("g", 0, 8), ("g", 2, 9)], "group_id string, idx bigint, companion bigint")
+    assert sorted(map(tuple, ops.assign(c, k).select("idx", "cluster", "companion").collect()), key=lambda r: r[0]) == [(0, 5, 8), (1, 5, None), (2, None, 9)]
+    named = spark.createDataFrame([("g", 1, [3, 1], "one"), ("g", 2, [2], "two")], "group_id string, cluster bigint, members array<bigint>, name string")
+    side = spark.createDataFrame([([1, 3], "new"), ([1, 3], "other"), ([7], "none")], "members array<bigint>, name string")
+    assert {r["cluster"]: (r["name"], r["renamed"]) for r in ops.renamed(named, side).collect()} == {1: ("new", True), 2: ("two", False)}
+
+
+def test_resolver(spark, tmp_path):
+    from palaver.operators.resolver import TextResolver, extend_index, hashed_embedding
+
+    q = spark.createDataFrame([(1, "update state twice", "x"), (2, "update the state", None), (3, "css grid", "layout"), (4, None, None)], "question_id bigint, title string, body_text string")
+    embed, path = hashed_embedding(64), str(tmp_path / "index")
+    extend_index(q.where("question_id < 3"), path, embed)
+    index = extend_index(q, path, embed)
+    assert sorted(r["id"] for r in index.collect()) == [1, 2, 3, 4]  # the first two were not embedded again
+    asked = spark.createDataFrame([(10, " Update STATE "), (11, "css grid layout"), (12, "  "), (13, None), (14, "nothing alike")], "query_id bigint, text string")
+    known = spark.createDataFrame([("old", 3)], "group_id string, member bigint")
+    from palaver.config import RetrievalConfig
+
+    got = TextResolver(index, q, known, embed, RetrievalConfig(accept_confidence=0.4)).resolve(asked)
+    answers = {r["query_id"]: (r["group_id"], r["reused"]) for r in got.answers.collect()}
+    assert answers[11] == ("old", True) and answers[12] == answers[13] == answers[14] == (None, False)
+    assert answers[10][0] in ("q1", "q2") and not answers[10][1]
+    rows = got.rows.collect()
+    assert {r["group_id"] for r in rows} == {answers[10][0]} and "equivalent" in {r["gate_decision"] for r in rows}
+
+
+def test_many_queries_meet_in_blocks(spark):
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((120, 6)).round(1)
+    x[50:90] = x[50]  # more ties than wanted
+    v = spark.createDataFrame([(i, [float(a) for a in r]) for i, r in enumerate(x)], "id bigint, embedding array<double>").repartition(5)
+    rows = lambda df: {(r["query_id"], r["rank"]): r["id"] for r in df.collect()}
+    one, many = rows(retrieval.cosine_topk(v, v, 7, 0.1)), rows(retrieval.cosine_topk(v, v, 7, 0.1, block=25, part=40))
+    assert one == many
+    assert [one[60, r] for r in range(7)] == [50, 51, 52, 53, 54, 55, 56]  # the smaller ids of those that tie
+
+
+def test_circles_in_circles(spark):
+    p = spark.createDataFrame([(1, "b", 2, i, 1.0 + i) for i in range(5)] + [(1, "a", 1, 10 + i, 0.5) for i in range(3)] + [(1, "tail", 9, 20, None)], "group_id bigint, cluster string, place int, idx bigint, weight double")
+    rows = consensus.circle_layout(p).collect()
+    shells = {r["cluster"]: r for r in rows if r["level"] == 1}
+    assert len(shells) == 3 and all(np.hypot(r["x"], r["y"]) + r["r"] <= 1 + 1e-9 for r in rows)
+    for r in rows:
+        if r["level"] == 2:
+            s = shells[r["cluster"]]
+            assert np.hypot(r["x"] - s["x"], r["y"] - s["y"]) + r["r"] <= s["r"] + 1e-9
+    area = {r["idx"]: r["r"] ** 2 for r in rows if r["level"] == 2}
+    assert area[4] / area[0] == pytest.approx(5) and area[0] / area[10] == pytest.approx(2)
+
+
+def test_audit_of_nothing_and_guards(spark):
+    from palaver.operators import audit
+
+    none = {t: spark.createDataFrame([], ", ".join(f"{c} string" for c in (*cols, "is_react"))) for t, cols in audit.EXPECTED.items()}
+    got = audit.readiness(*(none[t] for t in ("questions", "answers", "comments", "users", "interactions"))).collect()
+    assert len(got) == 14 and {r["check_name"] for r in got if not r["passed"]} == {"users are there", "code was marked"}
+    assert [r[2] for r in audit.schema_report({**none, "users": None})] == [True, True, True, False, True]
+    assert audit.missing_columns(none["users"], ["user_id", "shoe_size"]) == ["shoe_size"]
+    with pytest.raises(ValueError, match="answers, users"):
+        audit.require(users=none["users"], answers=none["answers"], there=spark.range(1))
+    two = spark.createDataFrame([(1, 0, 1, 1), (0, 0, 1, None)], "a int, b int, c int, d int")
+    flags = two.select(audit.unflagged(["a", "b"]), audit.unlike({"a": F.col("a"), "b": F.col("b")}, {"a": F.col("c"), "b": F.col("d")})).collect()
+    assert [tuple(r) for r in flags] == [(False, True), (True, True)]
+
+
+def test_tolerant_sources(spark, tmp_path):
+    from palaver.sources import tables
+
+    spark.createDataFrame([(1, "x")], "user_id bigint, extra string").write.parquet(str(tmp_path / "users.parquet"))
+    got = tables.table_or_empty(spark, str(tmp_path), "users", "user_id bigint, reputation bigint").collect()
+    assert [tuple(r) for r in got] == [(1, None)] and tables.table_or_empty(spark, str(tmp_path), "absent", "a int").count() == 0
+    (tmp_path / "c.json").write_text('{"n": 2, "clusters": [{"name": "a", "members": [1, 2]}, {"name": "b", "members": []}]}')
+    items = tables.json_items(spark, str(tmp_path / "c.json"), "clusters", "name: string, members: array<int>").collect()
+    assert [(r["pos"], r["name"], r["members"]) for r in items] == [(0, "a", [1, 2]), (1, "b", [])]
+    tables.write_json(spark.createDataFrame([(1, None)], "a int, b string"), str(tmp_path / "out"))
+    assert spark.read.json(str(tmp_path / "out")).columns == ["a", "b"]
+    df = spark.createDataFrame([(1,)], "old int")
+    new = tables.evolved(tables.evolved(df, {"c": F.lit(0)}, {"old": "new"}), {"c": F.lit(9)}, {"old": "new"})
+    assert [tuple(r) for r in new.select("new", "c").collect()] == [(1, 0)]

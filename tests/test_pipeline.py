@@ -76,3 +76,49 @@ def test_replayed_pages(spark, tmp_path):
     read = spark.read.format("replayed_pages").schema("id long, t string").option("path", str(tmp_path))
     assert sorted((r["id"], r["t"]) for r in read.load().collect()) == [(1, None), (2, "x"), (3, None)]
     assert read.option("most", "2").load().count() == 2
+    (tmp_path / "t").mkdir()
+    (tmp_path / "t" / "0.json").write_text(json.dumps({"items": [{"id": 7}], "quota_remaining": 3}))
+    (tmp_path / "t" / "1.json").write_text(json.dumps({"items": [{"id": 8}]}))
+    again = lambda: spark.read.format("replayed_pages").schema("id long, t string").option("path", str(tmp_path))
+    ids = lambda r: sorted(x["id"] for x in r.load().collect())
+    assert ids(again().option("since", "t")) == [7, 8] and ids(again().option("until", "t")) == [1, 2, 3]
+    assert ids(again().option("since", "t").option("quota", "5")) == [7]
+    (tmp_path / "t" / "1.json").write_text(json.dumps({"backoff": 0}))
+    with pytest.raises(Exception, match="no answer in 2 tries"):
+        again().option("since", "t").option("tries", "2").option("wait", "0").load().count()
+
+
+def test_sqlite_introspection(tmp_path):
+    from palaver.sources.external import sqlite_tables
+
+    con = sqlite3.connect(str(tmp_path / "a.db"))
+    con.execute("CREATE TABLE t (a INTEGER PRIMARY KEY, b TEXT)")
+    con.commit()
+    assert sqlite_tables(str(tmp_path / "a.db")) == [("t", "a", "INTEGER", True), ("t", "b", "TEXT", False)]
+
+
+def test_queries_answered_end_to_end(spark, tmp_path):
+    from palaver.operators.resolver import TextResolver, extend_index
+    from palaver.operators.resolver import hashed_embedding
+    from palaver.pipeline import answer_queries
+
+    q = spark.createDataFrame([(1, "update state", "x"), (2, "css grid", "y")], "question_id bigint, title string, body_text string")
+    embed = hashed_embedding(32)
+    index = extend_index(q, str(tmp_path / "index"), embed)
+    none = spark.createDataFrame([], "group_id string, member bigint")
+    p = practices(spark, DATA).where("group_id < 20").drop("group_id")
+    asked = spark.createDataFrame([(5, "update state"), (6, "zzz")], "query_id bigint, text string")
+    got = answer_queries(TextResolver(index, q, none, embed), asked, lambda g: p.join(g), authorities(spark, DATA), str(tmp_path / "out"))
+    assert {r["query_id"]: r["group_id"] for r in got.collect()} == {5: "q1", 6: None}
+    store = Store(spark, str(tmp_path / "out"))
+    assert [r["group_id"] for r in store.queries().collect()] == ["q1"] and store.breakdown("q1").count() > 0
+
+
+def test_labeller(spark):
+    from palaver.contract import HashedLabeller
+    from palaver.operators import consensus
+
+    s = spark.createDataFrame([("g", 0, "copy the object"), ("g", 1, "Copy the object!"), ("g", 2, "use a reducer"), ("g", 3, "?")], "group_id string, idx bigint, sentence string")
+    lab = HashedLabeller().label(s)
+    got = consensus.majority_clusters(consensus.co_votes(lab), lab, 3)
+    assert {r["idx"]: r["cluster"] for r in got.collect()} == {0: 0, 1: 0, 2: 2, 3: 3}
