@@ -130,15 +130,15 @@ def shuffled(copies: DataFrame, key: str = "doc_id", *, seed: int = 0) -> DataFr
 def shares(copies: DataFrame, plan: DataFrame) -> DataFrame:
     """Per source of the plan: target and reached share, copies, tokens, and whether it is short by what was mixed.
 
-    ``short`` is read off the copies: all documents of the source are there as
-    often as the cap allows, and still their tokens are fewer than the target.
-    That holds exactly for the sources whose tokens times the cap are fewer,
-    since those alone reach the cap with every document.
+    ``short`` is read off the copies: every token of the source is there as often
+    as the cap allows, and still there are fewer than the target.  That holds
+    exactly for the sources whose tokens times the cap are fewer, since those
+    alone reach the cap with every document; one without tokens is there in full.
     """
     got = copies.groupBy("source").agg(F.count(F.lit(1)).alias("copies"), F.sum("n_tokens").alias("mixed_tokens"))
     both = plan.join(got, "source", "left").na.fill(0, ["copies", "mixed_tokens"])
     whole = F.sum("mixed_tokens").over(Window.partitionBy(F.lit(1)))
-    full = F.col("copies") == F.col("documents") * F.coalesce("max_repeats", F.lit(0))
+    full = F.col("mixed_tokens") == F.col("tokens") * F.coalesce("max_repeats", F.lit(0))
     short = F.col("max_repeats").isNotNull() & full & (F.col("mixed_tokens").cast("double") < F.col("target_share") * F.col("total"))
     return both.select(
         "source", "target_share", "tokens", "rate", F.coalesce(short, F.lit(False)).alias("short"), "copies", "mixed_tokens",

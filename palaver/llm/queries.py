@@ -41,7 +41,14 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return neardup.duplicate_pairs(similar_questions(spark, d)).select(F.col("id_a").alias("question_id_a"), F.col("id_b").alias("question_id_b"))
 
 
-@REGISTRY.query("p2_groups")
+_Q_GROUPS = f"""{_Q_TEXT},
+  cls AS MATERIALIZED (SELECT id, min(id) OVER (PARTITION BY sig) AS class_id FROM (SELECT id, md5(string_agg(g, '|' ORDER BY g)) AS sig FROM s GROUP BY 1)),
+  lk AS MATERIALIZED (SELECT DISTINCT ca.class_id AS x, cb.class_id AS y FROM (SELECT a, b FROM pairs UNION ALL SELECT b, a FROM pairs) JOIN cls ca ON a = ca.id JOIN cls cb ON b = cb.id WHERE ca.class_id <> cb.class_id),
+  w(id, root) AS (SELECT DISTINCT class_id, class_id FROM cls UNION SELECT lk.y, w.root FROM w JOIN lk ON lk.x = w.id WHERE w.root < lk.y),
+  gr AS (SELECT id, min(root) AS group_id FROM w GROUP BY 1), dg AS (SELECT x, count(*) AS n FROM lk GROUP BY 1)"""
+
+
+@REGISTRY.query("p2_groups", f"WITH RECURSIVE {_Q_GROUPS} SELECT cls.id AS question_id, class_id, group_id, coalesce(n, 0) AS n_links FROM cls JOIN gr ON gr.id = class_id LEFT JOIN dg ON dg.x = class_id")
 def p2_groups(spark: SparkSession, d: str) -> DataFrame:
     """Per question: class of equal shingle sets, group of linked classes, and links of its class."""
     return neardup.duplicate_groups(similar_questions(spark, d)).withColumnRenamed("id", "question_id")

@@ -121,7 +121,8 @@ MIX = "source string, target_share double, max_repeats int"
 
 def corpus(spark):
     rows = [(i, "big", 10) for i in range(4000)] + [(5000 + i, "small", 20) for i in range(300)] + [(6000 + i, "tiny", 5) for i in range(10)] + [(7000, None, 9), (7001, "unknown", 9), (7002, "big", 0)]
-    mix = [("big", 0.5, 3), ("small", 0.3, 4), ("tiny", 0.15, 3), ("absent", 0.05, 2), ("odd", None, None)]
+    rows += [(8000 + i, "void", 0) for i in range(20)]
+    mix = [("void", 0.01, 4), ("big", 0.5, 3), ("small", 0.3, 4), ("tiny", 0.15, 3), ("absent", 0.05, 2), ("odd", None, None)]
     return spark.createDataFrame(rows, DOCS).withColumns({c: F.lit("x") for c in ("rate", "copy_no", "cdf", "cap", "tokens")}), spark.createDataFrame(mix, MIX)
 
 
@@ -131,8 +132,8 @@ def test_plan_and_shares(spark):
     got = {r["source"]: r for r in plan.collect()}
     total = 4000 * 10 + 300 * 20 + 50
     assert got["big"]["total"] == total and got["big"]["rate"] == pytest.approx(0.5 * total / 40000)
-    assert {s for s, r in got.items() if r["short"]} == {"tiny", "absent"}
-    assert {r["source"] for r in mixing.shares(mixing.replicate(docs, plan), plan).where("short").collect()} == {"tiny", "absent"}
+    assert {s for s, r in got.items() if r["short"]} == {"tiny", "absent", "void"}
+    assert {r["source"] for r in mixing.shares(mixing.replicate(docs, plan), plan).where("short").collect()} == {"tiny", "absent", "void"}
     copies = mixing.replicate(docs, plan)
     n = collections.Counter(r["doc_id"] for r in copies.collect())
     assert max(v for k, v in n.items() if 6000 <= k < 6010) == 3 and all(n[k] == 3 for k in range(6000, 6010))
