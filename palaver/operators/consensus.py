@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-
+from math import comb
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palaver.operators.components import connected_components
+from palaver.sources.materialize import materialize
+
+MOST_SUBSETS = 256  # sets of agreeing runs that every item may be listed under
 
 
 def labels(clusters: DataFrame, sizes: DataFrame) -> DataFrame:
@@ -46,6 +49,53 @@ def majority_clusters(votes: DataFrame, items: DataFrame, runs: int) -> DataFram
     return part.join(named, ["group_id", "component"]).select("group_id", "idx", "cluster")
 
 
+def _label_sets(labelled: DataFrame) -> DataFrame:
+    """(group_id, idx, v): the (run, label) pairs of every item that has a label, in order."""
+    real = labelled.where("label >= 0 AND group_id IS NOT NULL AND run IS NOT NULL AND idx IS NOT NULL")
+    return real.groupBy("group_id", "idx").agg(F.array_sort(F.collect_set(F.struct("run", "label"))).alias("v"))
+
+
+def _run_subsets(v: Column, need: int) -> Column:
+    """All sets of ``need`` pairs of ``v`` that are of as many runs."""
+    grown = lambda done, x: F.concat(
+        done, F.transform(F.filter(done, lambda s: (F.size(s) < need) & ~F.exists(s, lambda y: y["run"] == x["run"])), lambda s: F.concat(s, F.array(x)))
+    )
+    return F.filter(F.aggregate(v, F.array(F.slice(v, 1, 0)), grown), lambda s: F.size(s) == need)
+
+
+def _majority_links(classes: DataFrame, runs: int, need: int) -> DataFrame:
+    """(group_id, i, j): links that join the same classes as all pairs agreeing in ``need`` runs, of ``classes(group_id, idx, v)``.
+
+    Classes under one set of ``need`` labels all agree, so each is linked to the
+    first of them.  With very many such sets, pairs are compared instead.
+    """
+    if comb(runs, need) <= MOST_SUBSETS:
+        under = classes.select("group_id", "idx", F.explode(_run_subsets(F.col("v"), need)).alias("s"))
+        first = under.groupBy("group_id", "s").agg(F.min("idx").alias("i"))
+        return under.join(first, ["group_id", "s"]).where("i < idx").select("group_id", "i", F.col("idx").alias("j"))
+    side = lambda n: classes.select("group_id", F.explode("v").alias("at"), F.col("idx").alias(n), F.col("v").alias(f"v{n}"))
+    both = side("i").join(side("j"), ["group_id", "at"]).where("i < j").withColumn("shared", F.array_intersect("vi", "vj"))
+    return both.where((F.col("at") == F.array_min("shared")) & (F.size(F.array_distinct("shared.run")) >= need)).select("group_id", "i", "j")
+
+
+def majority_of_labels(labelled: DataFrame, items: DataFrame, runs: int) -> DataFrame:
+    """:func:`majority_clusters` of the votes of ``labelled(group_id, run, idx, label)``, without their pairs.
+
+    Items of equal labels are one class, named by its smallest idx, and only
+    classes are linked.
+    """
+    need = runs // 2 + 1
+    sets = materialize(_label_sets(labelled).where(F.size(F.array_distinct("v.run")) >= need), "label-sets")  # others agree with nothing in so many runs
+    classes = materialize(sets.groupBy("group_id", "v").agg(F.min("idx").alias("idx")), "classes")
+    links = _majority_links(classes, runs, need)
+    node = lambda c: F.struct("group_id", F.col(c).alias("idx"))
+    joined = connected_components(links.select(node("i").alias("src"), node("j").alias("dst")))
+    joined = joined.select(F.col("node.group_id").alias("group_id"), F.col("node.idx").alias("idx"), F.col("component.idx").alias("cluster"))
+    named = classes.join(joined, ["group_id", "idx"], "left").select("group_id", "v", F.coalesce("cluster", "idx").alias("cluster"))
+    found = sets.join(named, ["group_id", "v"]).select("group_id", "idx", "cluster")
+    return items.select("group_id", "idx").distinct().join(found, ["group_id", "idx"], "left").select("group_id", "idx", F.coalesce("cluster", "idx").alias("cluster"))
+
+
 def agreement(clusters: DataFrame, votes: DataFrame, runs: int) -> DataFrame:
     """(group_id, cluster, size, agreement): mean share of runs that put a pair of members together; 1.0 for one member."""
     size = clusters.groupBy("group_id", "cluster").agg(F.count(F.lit(1)).alias("size"))

@@ -231,7 +231,8 @@ def _clusters(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
  b AS (SELECT group_id, i AS x, j AS y FROM v UNION SELECT group_id, j, i FROM v), w(group_id, idx, root) AS (SELECT p_size, idx, idx FROM g UNION SELECT w.group_id, b.y, w.root FROM w JOIN b ON b.group_id = w.group_id AND b.x = w.idx WHERE w.root < b.y)
 SELECT group_id, idx, min(root) AS cluster FROM w GROUP BY 1, 2""")
 def majority_clusters(spark: SparkSession, d: str) -> DataFrame:
-    return _clusters(spark, d)[0]
+    lab = materialize(_labelled(spark, d), "labels")
+    return consensus.majority_of_labels(lab, lab.select("group_id", "idx"), 3)
 
 
 @REGISTRY.query("cluster_agreement", f"""WITH RECURSIVE {_LABELS}, v AS MATERIALIZED (SELECT x.group_id, x.idx AS i, y.idx AS j, count(DISTINCT x.run) AS votes FROM lb x JOIN lb y ON x.group_id = y.group_id AND x.run = y.run AND x.label = y.label AND x.idx < y.idx GROUP BY 1, 2, 3),

@@ -180,6 +180,29 @@ def test_labels_and_agreement(spark):
     assert {r["cluster"]: r["agreement"] for r in consensus.agreement(got, votes, 3).collect()} == {0: 1.0, 1: 1.0, 3: 1.0}
 
 
+def random_labels(spark, runs, seed=3):
+    """Labels of three groups, some missing, repeated or several in one run."""
+    rnd = random.Random(seed)
+    rows = [(g, r, i, rnd.choice([-1, 0, 0, 1, 2, 3])) for g in "abc" for r in range(runs) for i in range(25)]
+    rows += rows[:20] + [("a", 0, 3, 1), ("a", 0, 3, 2), ("a", 1, 3, 0), ("b", 2, 4, 3), (None, 0, 1, 1), ("a", 0, None, 1), ("a", 0, 2, None)]
+    return spark.createDataFrame(rows, "group_id string, run int, idx bigint, label bigint")
+
+
+@pytest.mark.parametrize("runs", [1, 3, 12])
+def test_majority_without_pairs(spark, runs):
+    lab = random_labels(spark, runs)
+    items = lab.where("group_id IS NOT NULL AND idx IS NOT NULL")
+    got = consensus.majority_of_labels(lab, items, runs).collect()
+    assert sorted(got) == sorted(consensus.majority_clusters(consensus.co_votes(lab), items, runs).collect())
+
+
+def test_majority_of_one_large_label(spark):
+    n = 100_000  # 5 billion pairs
+    lab = spark.range(n).select(F.lit(1).alias("group_id"), F.explode(F.sequence(F.lit(0), F.lit(2))).alias("run"), F.col("id").alias("idx"), F.lit(7).cast("bigint").alias("label"))
+    got = consensus.majority_of_labels(lab, lab.select("group_id", "idx"), 3).groupBy("cluster").count().collect()
+    assert [tuple(r) for r in got] == [(0, n)]
+
+
 def test_ward_separates():
     x = np.array([[0, 0], [0.1, 0], [5, 5], [5.1, 5], [9, 0]])
     assert list(consensus.ward_labels(x, 3)) == [0, 0, 1, 1, 2]
