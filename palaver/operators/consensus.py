@@ -98,9 +98,29 @@ def majority_of_labels(labelled: DataFrame, items: DataFrame, runs: int) -> Data
 
 def agreement(clusters: DataFrame, votes: DataFrame, runs: int) -> DataFrame:
     """(group_id, cluster, size, agreement): mean share of runs that put a pair of members together; 1.0 for one member."""
-    size = clusters.groupBy("group_id", "cluster").agg(F.count(F.lit(1)).alias("size"))
     of = lambda c, n: clusters.select("group_id", F.col("idx").alias(c), F.col("cluster").alias(n))
     inner = votes.join(of("i", "ci"), ["group_id", "i"]).join(of("j", "cj"), ["group_id", "j"]).where("ci = cj").groupBy("group_id", F.col("ci").alias("cluster")).agg(F.sum("votes").alias("v"))
+    return _mean_share(clusters, inner, runs)
+
+
+def agreement_of_labels(clusters: DataFrame, labelled: DataFrame, runs: int) -> DataFrame:
+    """:func:`agreement` of the votes of ``labelled(group_id, run, idx, label)``, without their pairs.
+
+    The pairs that a run puts together are counted from the sizes of its labels in
+    the cluster; where items have several labels in one run, by inclusion and
+    exclusion over the sets of labels they share.
+    """
+    sets = _label_sets(labelled).select("group_id", "idx", F.explode("v").alias("at")).groupBy("group_id", "idx", "at.run").agg(F.collect_set("at.label").alias("ls"))
+    grown = lambda done, x: F.concat(done, F.transform(done, lambda s: F.concat(s, F.array(x))))
+    ls = F.array_sort("ls")
+    shared = sets.select("group_id", "idx", "run", F.explode(F.filter(F.aggregate(ls, F.array(F.slice(ls, 1, 0)), grown), lambda s: F.size(s) > 0)).alias("s"))
+    n = shared.join(clusters, ["group_id", "idx"]).groupBy("group_id", "cluster", "run", "s").agg(F.count(F.lit(1)).alias("n"))
+    inner = n.groupBy("group_id", "cluster").agg(F.sum(F.expr("n * (n - 1) div 2 * if(size(s) % 2 = 1, 1, -1)")).alias("v"))
+    return _mean_share(clusters, inner, runs)
+
+
+def _mean_share(clusters: DataFrame, inner: DataFrame, runs: int) -> DataFrame:
+    size = clusters.groupBy("group_id", "cluster").agg(F.count(F.lit(1)).alias("size"))
     pairs = F.col("size") * (F.col("size") - 1) / 2
     value = F.when(F.col("size") < 2, 1.0).otherwise(F.coalesce("v", F.lit(0)) / F.lit(runs) / F.nullif(pairs, F.lit(0.0)))
     return size.join(inner, ["group_id", "cluster"], "left").select("group_id", "cluster", "size", value.alias("agreement"))

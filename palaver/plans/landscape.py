@@ -221,12 +221,6 @@ def co_association(spark: SparkSession, d: str) -> DataFrame:
     return consensus.co_votes(_labelled(spark, d))
 
 
-def _clusters(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    lab = _labelled(spark, d)
-    votes = materialize(consensus.co_votes(lab), "votes")
-    return consensus.majority_clusters(votes, lab.select("group_id", "idx"), 3), votes
-
-
 @REGISTRY.query("majority_clusters", f"""WITH RECURSIVE {_LABELS}, v AS (SELECT x.group_id, x.idx AS i, y.idx AS j FROM lb x JOIN lb y ON x.group_id = y.group_id AND x.run = y.run AND x.label = y.label AND x.idx < y.idx GROUP BY 1, 2, 3 HAVING count(DISTINCT x.run) >= 2),
  b AS (SELECT group_id, i AS x, j AS y FROM v UNION SELECT group_id, j, i FROM v), w(group_id, idx, root) AS (SELECT p_size, idx, idx FROM g UNION SELECT w.group_id, b.y, w.root FROM w JOIN b ON b.group_id = w.group_id AND b.x = w.idx WHERE w.root < b.y)
 SELECT group_id, idx, min(root) AS cluster FROM w GROUP BY 1, 2""")
@@ -242,8 +236,9 @@ def majority_clusters(spark: SparkSession, d: str) -> DataFrame:
 SELECT group_id, cluster, size, round(CASE WHEN size < 2 THEN 1.0 ELSE coalesce(s, 0) / 3.0 / (size * (size - 1) / 2) END, 6) AS agreement FROM z LEFT JOIN n USING (group_id, cluster)""")
 def cluster_agreement(spark: SparkSession, d: str) -> DataFrame:
     """Size and within-cluster agreement of every majority cluster; checked against brute force in the tests."""
-    clusters, votes = _clusters(spark, d)
-    return consensus.agreement(clusters, votes, 3).withColumn("agreement", F.round("agreement", 6))
+    lab = materialize(_labelled(spark, d), "labels")
+    clusters = materialize(consensus.majority_of_labels(lab, lab.select("group_id", "idx"), 3), "clusters")
+    return consensus.agreement_of_labels(clusters, lab, 3).withColumn("agreement", F.round("agreement", 6))
 
 
 @REGISTRY.query("ward_companion")

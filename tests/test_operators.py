@@ -196,11 +196,21 @@ def test_majority_without_pairs(spark, runs):
     assert sorted(got) == sorted(consensus.majority_clusters(consensus.co_votes(lab), items, runs).collect())
 
 
+@pytest.mark.parametrize("runs", [3, 12])
+def test_agreement_without_pairs(spark, runs):
+    lab = random_labels(spark, runs)
+    clusters = lab.where("group_id IS NOT NULL AND idx IS NOT NULL").select("group_id", "idx", (F.col("idx") % 4).alias("cluster")).distinct()
+    got = consensus.agreement_of_labels(clusters, lab, runs).collect()
+    assert sorted(got) == sorted(consensus.agreement(clusters, consensus.co_votes(lab), runs).collect())
+
+
 def test_majority_of_one_large_label(spark):
     n = 100_000  # 5 billion pairs
     lab = spark.range(n).select(F.lit(1).alias("group_id"), F.explode(F.sequence(F.lit(0), F.lit(2))).alias("run"), F.col("id").alias("idx"), F.lit(7).cast("bigint").alias("label"))
     got = consensus.majority_of_labels(lab, lab.select("group_id", "idx"), 3).groupBy("cluster").count().collect()
     assert [tuple(r) for r in got] == [(0, n)]
+    one = lab.where("run = 0").select("group_id", "idx", F.lit(0).alias("cluster"))
+    assert [tuple(r) for r in consensus.agreement_of_labels(one, lab, 3).collect()] == [(1, 0, n, 1.0)]
 
 
 def test_ward_separates():
