@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from math import comb
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,6 +15,8 @@ from palaver.operators.components import connected_components
 from palaver.sources.materialize import materialize
 
 MOST_SUBSETS = 256  # sets of agreeing runs that every item may be listed under
+SIDE_BY_SIDE = 40  # circles of a cluster that is packed beside others
+TILE = 16_384  # places tried at once
 
 
 def labels(clusters: DataFrame, sizes: DataFrame) -> DataFrame:
@@ -165,70 +169,150 @@ def ward_companion(items: DataFrame, counts: DataFrame) -> DataFrame:
     return items.select("group_id", "idx", "embedding").join(counts.select("group_id", "k"), "group_id").groupBy("group_id").applyInPandas(run, f"group_id {kind}, idx bigint, companion bigint")
 
 
+def _spots(xa, ya, da, xb, yb, db):
+    """The places (x, y, reached) at ``da`` from one and ``db`` from another centre, on the one side and on the other."""
+    gx, gy = xb - xa, yb - ya
+    d = np.sqrt(gx * gx + gy * gy)
+    along = (da**2 - db**2 + d**2) / (2 * d)
+    up = np.sqrt(np.maximum(da**2 - along**2, 0))
+    gx, gy = gx / d, gy / d
+    bx, by = xa + gx * along, ya + gy * along
+    gx, gy = gx * up, gy * up
+    return np.concatenate([bx - gy, bx + gy], -1), np.concatenate([by + gx, by - gx], -1), np.concatenate([d <= da + db] * 2, -1)
+
+
 def pack_circles(radii: np.ndarray) -> np.ndarray:
     """Centres (x, y) of circles that do not overlap, packed around the origin in the given order.
 
     Each circle is put at the place nearest the origin that touches two placed
-    circles and overlaps none.
+    circles and overlaps none.  Of pairs, those stay listed that a circle still to
+    come is large enough to touch.
     """
     n = len(radii)
     at = np.zeros((n, 2))
-    for i in range(1, n):
+    if n > 1:
+        at[1] = (radii[0] + radii[1], 0)
+    widest = np.maximum.accumulate(radii[::-1])[::-1]  # of the circles from each on
+    a, b = np.array([0]), np.array([1])
+    for i in range(2, n):
         r = radii[i]
-        if i == 1:
-            at[1] = (radii[0] + r, 0)
-            continue
-        a, b = np.triu_indices(i, 1)
-        da, db = radii[a] + r, radii[b] + r
-        gap = at[b] - at[a]
-        d = np.hypot(gap[:, 0], gap[:, 1])
-        ok = d <= da + db
-        a, b, da, db, gap, d = a[ok], b[ok], da[ok], db[ok], gap[ok], d[ok]
-        along = (da**2 - db**2 + d**2) / (2 * d)
-        up = np.sqrt(np.maximum(da**2 - along**2, 0))
-        unit = gap / d[:, None]
-        base = at[a] + unit * along[:, None]
-        side = np.c_[-unit[:, 1], unit[:, 0]] * up[:, None]
-        spots = np.r_[base + side, base - side]
-        spots = spots[np.argsort((spots**2).sum(1), kind="stable")]
-        for k in range(0, len(spots), 256):
-            some = spots[k : k + 256]
-            far = np.hypot(some[:, None, 0] - at[None, :i, 0], some[:, None, 1] - at[None, :i, 1])
-            free = np.flatnonzero((far >= radii[:i] + r - 1e-9).all(1))
+        x, y, found = _spots(*at[a].T, radii[a] + r, *at[b].T, radii[b] + r)
+        code = np.concatenate([a * n + b, n * n + a * n + b])[found]
+        x, y = x[found], y[found]
+        order = np.lexsort((code, x * x + y * y))
+        least = (radii[:i] + r - 1e-9) ** 2
+        for k in range(0, len(order), 256):
+            some = order[k : k + 256]
+            far = (x[some, None] - at[None, :i, 0]) ** 2 + (y[some, None] - at[None, :i, 1]) ** 2
+            free = np.flatnonzero((far >= least).all(1))
             if len(free):
-                at[i] = some[free[0]]
+                at[i] = x[some[free[0]]], y[some[free[0]]]
                 break
+        if i + 1 < n:
+            near = np.flatnonzero(np.hypot(*(at[:i] - at[i]).T) <= (radii[:i] + r + 2 * widest[i + 1]) * (1 + 1e-12))
+            a, b = np.concatenate([a, near]), np.concatenate([b, np.full(len(near), i)])
     return at
 
 
+def _pack_side_by_side(radii: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """:func:`pack_circles` of each row of ``radii``, of which the first ``sizes`` count, longest rows first."""
+    x, y = np.zeros_like(radii), np.zeros_like(radii)
+    x[:, 1:2] = np.where(sizes[:, None] > 1, radii[:, :1] + radii[:, 1:2], 0)
+    for i in range(2, radii.shape[1]):
+        rows = int((sizes > i).sum())
+        a, b = np.triu_indices(i, 1)
+        step = max(1, TILE // (2 * len(a)))
+        for at in range(0, rows, step):
+            s = slice(at, min(rows, at + step))
+            xs, ys, q, r = x[s, :i], y[s, :i], radii[s, :i], radii[s, i : i + 1]
+            px, py, found = _spots(xs[:, a], ys[:, a], q[:, a] + r, xs[:, b], ys[:, b], q[:, b] + r)
+            least = (q + r - 1e-9) ** 2
+            for k in range(i):
+                gx, gy = px - xs[:, k : k + 1], py - ys[:, k : k + 1]
+                gx *= gx
+                gy *= gy
+                gx += gy
+                found &= gx >= least[:, k : k + 1]
+            best = np.where(found, px * px + py * py, np.inf).argmin(1)[:, None]
+            x[s, i : i + 1], y[s, i : i + 1] = np.take_along_axis(px, best, 1), np.take_along_axis(py, best, 1)
+    return x, y
+
+
+def pack_each(radii: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """:func:`pack_circles` of each run of ``radii`` from one of ``starts`` to the next; short runs are packed side by side."""
+    sizes = np.diff(np.append(starts, len(radii)))
+    out = np.zeros((len(radii), 2))
+    for k in np.flatnonzero(sizes > SIDE_BY_SIDE):
+        out[starts[k] : starts[k] + sizes[k]] = pack_circles(radii[starts[k] : starts[k] + sizes[k]])
+    short = np.flatnonzero(sizes <= SIDE_BY_SIDE)
+    if len(short):
+        short = short[np.argsort(-sizes[short], kind="stable")]
+        there = np.arange(sizes[short[0]]) < sizes[short, None]
+        at = np.where(there, starts[short, None] + np.arange(sizes[short[0]]), 0)
+        x, y = _pack_side_by_side(radii[at], sizes[short])
+        out[at[there]] = np.c_[x[there], y[there]]
+    return out
+
+
+def _layout(rows: pa.Table) -> pa.Table:
+    """The circles of whole groups, whose rows are in order of group, place, cluster and idx."""
+    n = len(rows)
+    group = _changes(rows, ["group_id"])
+    first = np.flatnonzero(_changes(rows, ["place", "cluster"]) | group)  # of each cluster
+    of = np.cumsum(np.isin(np.arange(n), first)) - 1
+    heads = np.flatnonzero(group[first])  # of each group, among the clusters
+    weight = rows["weight"].cast(pa.float64()).fill_null(0).to_numpy()
+    r = np.sqrt(np.maximum(np.nan_to_num(weight), 1e-6))
+    at = pack_each(r, first)
+    at -= (np.add.reduceat(at * (r**2)[:, None], first) / np.add.reduceat(r**2, first)[:, None])[of]
+    hulls = np.maximum.reduceat(np.hypot(*at.T) + r, first)
+    centres = pack_each(hulls, heads)
+    whole = np.repeat(np.maximum.reduceat(np.hypot(*centres.T) + hulls, heads), np.diff(np.append(heads, len(first))))
+    at = (at + centres[of]) / whole[of, None]
+    centres, hulls, r = centres / whole[:, None], hulls / whole, r / whole[of]
+    take = np.concatenate([first, np.arange(n)])
+    level = np.repeat(np.array([1, 2], "int32"), [len(first), n])
+    idx = pa.chunked_array([pa.nulls(len(first), pa.int64()), *rows["idx"].cast(pa.int64()).chunks])
+    x, y = np.concatenate([centres, at]).T
+    return pa.table({"group_id": rows["group_id"].take(take), "level": level, "cluster": rows["cluster"].take(take), "idx": idx, "x": x, "y": y, "r": np.concatenate([hulls, r])})
+
+
+def _changes(rows: pa.Table, columns: list[str]) -> np.ndarray:
+    """Whether each row differs in ``columns`` from the one before; the first does."""
+    out = np.zeros(len(rows), bool)
+    out[:1] = True
+    for c in columns:
+        code = rows[c].combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy()
+        out[1:] |= code[1:] != code[:-1]
+    return out
+
+
 def circle_layout(points: DataFrame) -> DataFrame:
     """(group_id, level, cluster, idx, x, y, r) of ``points(group_id, cluster, place, idx, weight)``: circles within circles in a unit circle.
 
     Level 1 holds one circle per cluster, in the order of ``place``, with a null
     idx; level 2 the points in theirs, in the order of idx.  The area of points is
     in proportion to weight; a null weight or one below 1e-6 counts as that.  A
-    group is one document and is packed in one task.
+    group is one document and is packed in one task, beside others of its batch.
     """
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        parts, hulls = [], []
-        for _, part in rows.groupby(["place", "cluster"], sort=True):
-            part = part.sort_values("idx")
-            r = np.sqrt(np.maximum(part["weight"].fillna(0).to_numpy(float), 1e-6))
-            at = pack_circles(r)
-            at = at - (at * (r**2)[:, None]).sum(0) / (r**2).sum()
-            hulls.append((np.hypot(*at.T) + r).max())
-            parts.append(part[["group_id", "cluster", "idx"]].assign(level=2, x=at[:, 0], y=at[:, 1], r=r))
-        centres = pack_circles(np.array(hulls))
-        for part, centre in zip(parts, centres):
-            part["x"] += centre[0]
-            part["y"] += centre[1]
-        shells = pd.DataFrame({"group_id": rows["group_id"].iloc[0], "cluster": [p["cluster"].iloc[0] for p in parts], "idx": None, "level": 1, "x": centres[:, 0], "y": centres[:, 1], "r": hulls})
-        out = pd.concat([shells, *parts])
-        whole = (np.hypot(centres[:, 0], centres[:, 1]) + np.array(hulls)).max()
-        out[["x", "y", "r"]] = out[["x", "y", "r"]] / whole
-        out["idx"] = out["idx"].astype("Int64")
-        return out[["group_id", "level", "cluster", "idx", "x", "y", "r"]]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Table] = []  # of the group that may go on
+        for batch in batches:
+            if not len(batch):
+                continue
+            rows = pa.Table.from_batches([batch])
+            last = int(np.flatnonzero(_changes(rows, ["group_id"]))[-1])
+            if last or held and held[-1]["group_id"][-1].as_py() != rows["group_id"][0].as_py():
+                goes = pa.concat_tables([*held, rows.slice(0, last)])
+                if len(goes):
+                    yield from _layout(goes).to_batches()
+                held = []
+            held.append(rows.slice(last))
+        if held:
+            yield from _layout(pa.concat_tables(held)).to_batches()
 
     g, c = (points.schema[x].dataType.simpleString() for x in ("group_id", "cluster"))
-    return points.groupBy("group_id").applyInPandas(run, f"group_id {g}, level int, cluster {c}, idx bigint, x double, y double, r double")
+    order = [F.col(x).asc_nulls_last() for x in ("group_id", "place", "cluster", "idx")]
+    rows = points.select("group_id", "cluster", "place", "idx", "weight").repartition("group_id").sortWithinPartitions(*order)
+    return rows.mapInArrow(run, f"group_id {g}, level int, cluster {c}, idx bigint, x double, y double, r double")

@@ -388,6 +388,35 @@ def test_circles_in_circles(spark):
     assert area[4] / area[0] == pytest.approx(5) and area[0] / area[10] == pytest.approx(2)
 
 
+def test_circles_side_by_side():
+    rng = np.random.default_rng(2)
+    sizes = [1, 2, 3, 60, 41, 40, *rng.integers(1, 30, 3000)]  # 45,000 circles; one by one they took over 5 seconds of numpy calls
+    radii = [rng.random(n) + 0.05 for n in sizes]
+    at = consensus.pack_each(np.concatenate(radii), np.cumsum([0, *sizes[:-1]]))
+    for k, start in list(enumerate(np.cumsum([0, *sizes[:-1]])))[:60]:
+        own, r = at[start : start + sizes[k]], radii[k]
+        gap = np.hypot(*(own[:, None] - own[None]).transpose(2, 0, 1)) - r[:, None] - r + np.eye(len(r)) * 9
+        assert gap.min() >= -1e-8
+        assert np.hypot(*own.T) == pytest.approx(np.hypot(*consensus.pack_circles(r).T), abs=1e-6)
+
+
+def test_groups_of_circles_over_batches(spark):
+    rows = [(g, "ab"[i % 2], i % 2, 100 * k + i, 0.1 + (i * 7 + k) % 5) for k, g in enumerate(["x", "y", None, "z", "zz"]) for i in range(3 + 4 * k)]
+    p = spark.createDataFrame(rows, "group_id string, cluster string, place int, idx bigint, weight double").coalesce(1)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        found = []
+        for most in (4, 1000):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", most)
+            got = consensus.circle_layout(p).collect()
+            found.append({tuple(r[:4]): tuple(r[4:]) for r in got})
+            assert len(got) == len(rows) + 10 and sorted(r["idx"] for r in got if r["level"] == 2) == sorted(r[3] for r in rows)
+            assert all(np.hypot(r["x"], r["y"]) + r["r"] <= 1 + 1e-9 for r in got)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert {k: pytest.approx(v) for k, v in found[0].items()} == found[1]
+
+
 def test_audit_of_nothing_and_guards(spark):
     from palaver.operators import audit
 
