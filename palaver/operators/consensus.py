@@ -15,6 +15,8 @@ from palaver.operators.components import connected_components
 from palaver.sources.materialize import materialize
 
 MOST_SUBSETS = 256  # sets of agreeing runs that every item may be listed under
+BLOCK = 1024  # items of equal labels in a block
+CELL = 256  # blocks of a label in a cell
 SIDE_BY_SIDE = 40  # circles of a cluster that is packed beside others
 TILE = 16_384  # places tried at once
 
@@ -31,11 +33,25 @@ def labels(clusters: DataFrame, sizes: DataFrame) -> DataFrame:
 
 
 def co_votes(labelled: DataFrame) -> DataFrame:
-    """(group_id, i, j, votes), i < j: in how many runs both have the same label; -1 never pairs.  Pairs arise only within a label of a run."""
-    real = labelled.where("label >= 0")
-    a = real.select("group_id", "run", "label", F.col("idx").alias("i"))
-    b = real.select("group_id", "run", "label", F.col("idx").alias("j"))
-    return a.join(b, ["group_id", "run", "label"]).where("i < j").groupBy("group_id", "i", "j").agg(F.count_distinct("run").alias("votes"))
+    """(group_id, i, j, votes), i < j: in how many runs both have the same label; -1 never pairs.  Pairs arise only within a label of a run.
+
+    Items of equal labels come in blocks.  Two blocks that share labels meet under
+    each of them, and their pairs are made under the first, with all their votes:
+    no pair is shuffled.  A label of many blocks is spread over cells.
+    """
+    sets = materialize(_label_sets(labelled), "label-sets")
+    chunks = sets.groupBy("group_id", "v").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("k"))
+    dealt = sets.join(chunks, ["group_id", "v"]).withColumn("chunk", F.pmod(F.xxhash64("idx"), "k"))
+    blocks = materialize(dealt.groupBy("group_id", "v", "chunk").agg(F.collect_list("idx").alias("members"), F.min("idx").alias("block")), "blocks")
+    under = blocks.withColumn("at", F.explode("v"))
+    cells = under.groupBy("group_id", "at").agg(F.ceil(F.count(F.lit(1)) / CELL).alias("cells"))
+    under = under.join(cells, ["group_id", "at"]).withColumn("cell", F.pmod(F.xxhash64("block", F.lit(1)), "cells"))
+    every = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("cells") - 1))
+    side = lambda n, own, other: under.withColumn("other", every).select("group_id", "at", F.col("cell").alias(own), F.col("other").alias(other), F.col("block").alias(f"block{n}"), F.col("v").alias(f"v{n}"), F.col("members").alias(f"members{n}"))
+    both = side("a", "ca", "cb").join(side("b", "cb", "ca"), ["group_id", "at", "ca", "cb"]).where("blocka <= blockb").withColumn("shared", F.array_intersect("va", "vb"))
+    first = both.where(F.col("at") == F.array_min("shared")).withColumn("votes", F.size(F.array_distinct("shared.run")).cast("bigint"))
+    pairs = first.select("group_id", "blocka", "blockb", "membersb", "votes", F.explode("membersa").alias("a")).select("group_id", "blocka", "blockb", "votes", "a", F.explode("membersb").alias("b"))
+    return pairs.where("blocka < blockb OR a < b").select("group_id", F.least("a", "b").alias("i"), F.greatest("a", "b").alias("j"), "votes")
 
 
 def majority_clusters(votes: DataFrame, items: DataFrame, runs: int) -> DataFrame:

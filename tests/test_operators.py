@@ -196,6 +196,20 @@ def test_majority_without_pairs(spark, runs):
     assert sorted(got) == sorted(consensus.majority_clusters(consensus.co_votes(lab), items, runs).collect())
 
 
+def test_votes_without_shuffled_pairs(spark, monkeypatch):
+    lab = random_labels(spark, 4)
+    has = {}
+    for r in lab.where("label >= 0 AND group_id IS NOT NULL AND idx IS NOT NULL").collect():
+        has.setdefault((r["group_id"], r["idx"]), set()).add((r["run"], r["label"]))
+    want = sorted((g, i, j, len({r for r, _ in v & w})) for (g, i), v in has.items() for (h, j), w in has.items() if g == h and i < j and v & w)
+    assert sorted(tuple(r) for r in consensus.co_votes(lab).collect()) == want
+    monkeypatch.setattr(consensus, "BLOCK", 2)
+    monkeypatch.setattr(consensus, "CELL", 3)
+    assert sorted(tuple(r) for r in consensus.co_votes(lab).collect()) == want
+    plan = consensus.co_votes(lab)._jdf.queryExecution().executedPlan().toString()
+    assert "count(distinct" not in plan and "HashAggregate(keys=[group_id#" not in plan.split("Generate")[0]  # nothing gathers the pairs
+
+
 @pytest.mark.parametrize("runs", [3, 12])
 def test_agreement_without_pairs(spark, runs):
     lab = random_labels(spark, runs)
