@@ -404,7 +404,7 @@ def test_circles_in_circles(spark):
 
 def test_circles_side_by_side():
     rng = np.random.default_rng(2)
-    sizes = [1, 2, 3, 60, 41, 40, *rng.integers(1, 30, 3000)]  # 45,000 circles; one by one they took over 5 seconds of numpy calls
+    sizes = [1, 2, 3, 60, 41, 40, *rng.integers(1, 30, 3000)]
     radii = [rng.random(n) + 0.05 for n in sizes]
     at = consensus.pack_each(np.concatenate(radii), np.cumsum([0, *sizes[:-1]]))
     for k, start in list(enumerate(np.cumsum([0, *sizes[:-1]])))[:60]:
